@@ -241,6 +241,6 @@ def first_segment(path: Column) -> Column:
 
 
 def csv_set(csv: Column, defaults: list[str]) -> Column:
-    parts = F.array_distinct(F.transform(F.filter(F.transform(F.split(F.coalesce(csv, F.lit("")), "[,;]"), F.trim),
+    parts = F.array_distinct(F.transform(F.filter(F.transform(F.split(F.coalesce(csv, F.lit("")), "[,;]"), lambda x: F.trim(x)),
                                                   lambda x: x != ""), F.upper))
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(*[F.lit(d.upper()) for d in defaults]))

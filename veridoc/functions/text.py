@@ -8,12 +8,12 @@ from pyspark.sql import Column, functions as F
 # Characters mapped one by one.
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "œ": "oe", "æ": "ae",
              "Œ": "OE", "Æ": "AE", "ĳ": "ij", "Ĳ": "IJ"}
-BULLETS = "•·▪●○◦‣⁃"
-DASHES = "–—−‐‑‒"
+BULLETS = "•·▪●○◦\uf0a7\uf0b7\u2023\u2043"
+DASHES = "–—−\u2010\u2011\u2012"
 APOSTROPHES = "’‘´`ʼ"
 QUOTES = "“”«»„"
-ZERO_WIDTH = "­​‌‍﻿"
-WIDE_SPACES = "   "
+ZERO_WIDTH = "\u00ad\u200b\u200c\u200d\ufeff"
+WIDE_SPACES = "\u00a0\u202f\u2009"
 # Abbreviations that do not end a sentence.
 ABBREVIATIONS = ("M Mr Mme Mlle Dr Pr Me St Ste Art cf etc ex env réf Ref No N° p fig vol ch inc ltd co corp v al av bd "
                  "imp sq pl all hab tel tél fax max min approx").split()
@@ -34,7 +34,7 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 def nfkc(text: Column) -> Column:
     """Unicode NFKC. Only values outside the range where it changes nothing travel to Python."""
-    odd = text.rlike(r"[^\x00-\x9f¡-§©«¬®°±¶»¿À-ĲĴ-ľŁ-ňŊ-ſẞ€–—‘’“”„•]")
+    odd = text.rlike(r"[^\x00-\x7eÀ-ıĴ-ľŁ-ňŊ-ž€–—‘’“”„•]")
     return F.coalesce(_nfkc(F.when(odd, text)), text)
 
 
@@ -65,7 +65,7 @@ def normalize_text(text: Column) -> Column:
     out = F.regexp_replace(out, rf"(?U){blank}+", " ")
     out = F.replace(F.replace(out, F.lit(" • "), F.lit("\n• ")), F.lit(" - "), F.lit("\n- "))
     out = F.regexp_replace(out, r"(?U)(?<!\b(?:" + "|".join(ABBREVIATIONS) + r"))([.?!])\s+(?=[A-ZÀ-ÖØ-Þ•\-])", "$1\n")
-    return F.array_join(F.filter(F.transform(F.split(out, "\n"), F.trim), lambda s: s != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(out, "\n"), lambda s: F.trim(s)), lambda s: s != ""), "\n")
 
 
 def split_compound(text: Column) -> Column:

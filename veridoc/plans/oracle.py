@@ -72,7 +72,8 @@ FROM (SELECT *, length(text) >= 9 AND NOT contains(text, ' ') AS long_word,
         regexp_matches(text, '^[A-Z][a-z]+$') AND length(text) < 9 AS twice FROM (
   SELECT side, doc_id, lang, product, channel, path, pos, page, line_on_page,
     CASE WHEN pos % 149 = 8 THEN '#SIGN_1#' WHEN pos % 151 = 9 THEN 'SPECIMEN'
-         WHEN pos % 157 = 12 THEN 'D000 ' || text ELSE text END AS text,
+         WHEN pos % 157 = 12 THEN 'D000 ' || text
+         WHEN pos % 131 = 7 AND line_on_page >= 44 THEN 'Exemplaire' ELSE text END AS text,
     CASE WHEN pos % 97 = 5 THEN 50.0::DOUBLE WHEN pos % 101 = 3 THEN 1.2::DOUBLE WHEN pos % 107 = 6 THEN 20.0::DOUBLE ELSE 10.0::DOUBLE END AS font_size,
     CASE WHEN pos % 103 = 4 THEN 0.97::DOUBLE ELSE 0::DOUBLE END AS grey, pos % 109 <> 2 AS horizontal,
     CASE WHEN pos % 109 = 2 THEN 10::DOUBLE ELSE x0 END AS x0, CASE WHEN pos % 109 = 2 THEN 20::DOUBLE ELSE x1 END AS x1,

@@ -100,12 +100,13 @@ def raw_words(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """Words as a scanner would deliver them, before any filter.
 
     Long words arrive in two touching fragments, capitalised words are printed twice, and some tokens
-    are micro print, white, rotated in the margin, off page, large print, anchors or stamps.
+    are micro print, white, rotated in the margin, off page, large print, anchors, stamps or copy mentions.
     """
     w = words(spark, sf_dir, side)
     text = (F.when(F.col("pos") % 149 == 8, F.lit("#SIGN_1#"))
             .when(F.col("pos") % 151 == 9, F.lit("SPECIMEN"))
-            .when(F.col("pos") % 157 == 12, F.concat(F.lit("D000 "), F.col("text"))).otherwise(F.col("text")))
+            .when(F.col("pos") % 157 == 12, F.concat(F.lit("D000 "), F.col("text")))
+            .when((F.col("pos") % 131 == 7) & (F.col("line_on_page") >= 44), "Exemplaire").otherwise(F.col("text")))
     w = w.withColumn("text", text)
     w = w.withColumn("font_size", F.when(F.col("pos") % 97 == 5, 50.0).when(F.col("pos") % 101 == 3, 1.2)
                      .when(F.col("pos") % 107 == 6, 20.0).otherwise(10.0))
