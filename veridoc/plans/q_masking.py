@@ -76,7 +76,7 @@ def named_words(spark, sf_dir):
     return w.withColumn("text", F.when(F.col("pos") % 240 == 0, "Souscripteur").when(
         (F.col("pos") % 240 == 1) | (F.col("pos") % 300 == 100), "Jean").when(
         (F.col("pos") % 240 == 2) | (F.col("pos") % 300 == 101), "DUPONT,").when(F.col("pos") % 300 == 150, "Monsieur").when(
-        F.col("pos") % 300 == 151, "Dupont").otherwise(F.col("text")))
+        F.col("pos") % 300 == 151, "Dupont").otherwise(F.col("text"))).withColumn("x1", F.col("x0") + 5.0 * F.least(F.length("text"), F.lit(7)))
 
 
 cte("nwords", """SELECT side, doc_id, lang, pos, x0, CASE WHEN pos % 240 = 0 THEN 'Souscripteur' WHEN pos % 240 = 1 OR pos % 300 = 100 THEN 'Jean'
@@ -103,7 +103,7 @@ def k2(spark, sf_dir):
 def h22(spark, sf_dir):
     c = corpus.table(spark, sf_dir, "conversations")
     toks = F.array(F.lit("Mme"), F.lit("Jean"), F.lit("van"), F.concat(F.regexp_extract("text", "^[A-Za-z]+", 0), F.lit(",")), F.lit("Xavier"))
-    return c.select("conv_id", "turn", F.array_join(N.person_name_parts(toks, F.lit(False)), " ").alias("name"))
+    return c.select("conv_id", "turn", F.array_join(N.person_name_parts(toks, False), " ").alias("name"))
 
 
 @query("k3_sanitize_block_text", rf"""SELECT doc_id, md5(trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(trim(text), '(?i)#[A-Z0-9_]+#', '', 'g')),
