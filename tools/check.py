@@ -90,7 +90,7 @@ def main(argv):
         except Exception:
             bad.append(name)
             print("ERROR", name)
-            print("\n".join(traceback.format_exc().splitlines()[-12:])[:2500], flush=True)
+            print("\n".join(x[:260] for x in traceback.format_exc().splitlines()[-40:] if "pyspark.errors" in x or "File \"/root" in x or "Error" in x)[:1800], flush=True)
     print("checked", len(names), "bad", bad)
 
 

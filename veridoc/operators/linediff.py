@@ -80,6 +80,22 @@ def changed_tokens_of_lines(tokens: DataFrame, rows: DataFrame) -> DataFrame:
         *SIDE, "row", "idx", "kind", "page", "line_idx", "text", "x0", "x1", "y0", "y1", "font_size", "pos")
 
 
+def loose_tokens(tokens: DataFrame, lines: DataFrame) -> DataFrame:
+    """Tokens of lines without an equal line on the other side (multiset difference, order-free): the `row` is the line."""
+    k = F.row_number().over(W.partitionBy("pair_id", "side", "line_text").orderBy("line_idx"))
+    n = F.count("*").over(W.partitionBy("pair_id", "line_text", "k"))
+    odd = lines.withColumn("k", k).withColumn("n", n).where("n = 1").select(*SIDE, "line_idx")
+    return tokens.join(odd, [*SIDE, "line_idx"], "left_semi").withColumn("row", F.col("line_idx"))
+
+
+def facing_tokens(tokens: DataFrame, lines: DataFrame) -> DataFrame:
+    """Tokens of lines that differ from the line with the same number on the other side."""
+    other = F.when(F.count("*").over(W.partitionBy("pair_id", "line_idx")) == 2,
+                   F.min("line_text").over(W.partitionBy("pair_id", "line_idx")) == F.max("line_text").over(W.partitionBy("pair_id", "line_idx")))
+    odd = lines.withColumn("same", F.coalesce(other, F.lit(False))).where("not same").select(*SIDE, "line_idx")
+    return tokens.join(odd, [*SIDE, "line_idx"], "left_semi").withColumn("row", F.col("line_idx"))
+
+
 def inline_lcs(toks: DataFrame) -> DataFrame:
     """Unmatched tokens: words common to both lines of a modified row are settled at once.
 

@@ -53,7 +53,7 @@ def greedy_one_to_one(edges: DataFrame, left: list[str], right: list[str], order
     one at both of its ends gives the same matching as the sequential walk. The best edge of an
     endpoint is a partial `min` aggregate, so a hot endpoint never sits in one task.
     """
-    rank = F.struct(*order, *left, *right)
+    rank = F.struct(*dict.fromkeys([*order, *left, *right]))
     open_edges = cut(edges.withColumn("_rank", rank))
     taken = None
     for _ in range(max_rounds):
@@ -66,7 +66,7 @@ def greedy_one_to_one(edges: DataFrame, left: list[str], right: list[str], order
         open_edges = cut(open_edges.join(found.select(*left), left, "left_anti")
                          .join(found.select(*right), right, "left_anti"))
     if taken is None:
-        taken = open_edges.select(*order, *left, *right).limit(0)
+        taken = open_edges.select(*dict.fromkeys([*order, *left, *right])).limit(0)
     return taken.select(*left, *right, *[c for c in order if c not in left + right])
 
 

@@ -20,9 +20,12 @@ def without(toks: DataFrame, matched: DataFrame) -> DataFrame:
     return toks.join(matched, KEY, "left_anti")
 
 
-def _sides(df: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
-    pick = lambda side, p: df.where(F.col("side") == side).select("pair_id", *[F.col(c).alias(f"{p}_{c}") for c in cols])
-    return pick("S", "s"), pick("T", "t")
+def _meet(df: DataFrame, cols: list[str], equal: list[str]) -> DataFrame:
+    """Source rows with target rows of the same pair that agree on `equal`; columns get the prefix s_ or t_."""
+    pick = lambda side, p: df.where(F.col("side") == side).select("pair_id", *equal, *[F.col(c).alias(f"{p}_{c}") for c in cols])
+    out = pick("S", "s").join(pick("T", "t"), ["pair_id", *equal])
+    both = [F.col(c).alias(f"{p}_{c}") for c in equal for p in ("s", "t")]
+    return out.select("pair_id", *[f"{p}_{c}" for c in cols for p in ("s", "t")], *both)
 
 
 def _near(shift: int) -> Column:
@@ -47,8 +50,7 @@ def match_lines(toks: DataFrame, glue: str, shift: int = LINE_SHIFT, least: int
         F.expr(f"listagg(text, '{glue}') within group (order by idx)").alias("key"), F.min("page").alias("page"),
         F.array_sort(F.collect_list("idx")).alias("ids")).where(F.size("ids") >= least)
     rows = rows.withColumn("k", F.row_number().over(W.partitionBy("pair_id", "side", "key").orderBy("row")))
-    s, t = _sides(rows, ["row", "page", "key", "k", "ids"])
-    hit = s.join(t, (s.pair_id == t.pair_id) & (s.s_key == t.t_key) & (s.s_k == t.t_k)).drop(t.pair_id).where(_near(shift))
+    hit = _meet(rows, ["row", "page", "ids"], ["key", "k"]).where(_near(shift))
     return _keys(hit, ("s", "s_ids"), ("t", "t_ids"))
 
 
@@ -63,14 +65,13 @@ def match_moved_lines(toks: DataFrame) -> DataFrame:
 def runs(toks: DataFrame, longest: int, shortest: int = 1) -> DataFrame:
     """Runs of up to `longest` consecutive unmatched tokens (reading order), with their joined text."""
     seq = W.partitionBy("pair_id", "side").orderBy("row", "idx")
-    w = toks.withColumn("seq", F.row_number().over(seq))
-    ahead = lambda c, k: F.lead(c, k).over(seq)
-    options = []
-    text, ok = F.col("text"), F.lit(True)
+    w = toks.select("pair_id", "side", "row", "page", "x0", "y0", "text", F.row_number().over(seq).alias("seq"), *[
+        F.lead(c, k).over(seq).alias(f"{c}{k}") for c in ("text", "page", "y0") for k in range(1, longest)])
+    options, text, ok = [], F.col("text"), F.lit(True)
     for k in range(1, longest + 1):
         if k > 1:
-            text = F.concat(text, ahead("text", k - 1))
-            ok = ok & (ahead("page", k - 1) == F.col("page")) & (F.abs(ahead("y0", k - 1) - F.col("y0")) <= 36.0)
+            text = F.concat(text, F.col(f"text{k - 1}"))
+            ok = ok & (F.col(f"page{k - 1}") == F.col("page")) & (F.abs(F.col(f"y0{k - 1}") - F.col("y0")) <= 36.0)
         if k >= shortest:
             options.append(F.when(F.coalesce(ok & text.isNotNull(), F.lit(False)), F.struct(F.lit(k).alias("n"), text.alias("key"))))
     return w.select("pair_id", "side", "seq", "row", "page", "x0", "y0", F.explode(F.filter(F.array(*options), lambda o: o.isNotNull())).alias("o")).select(
@@ -95,9 +96,7 @@ def _settle_runs(toks: DataFrame, edges: DataFrame) -> DataFrame:
 
 def run_edges(toks: DataFrame, longest: int) -> DataFrame:
     """Pairs of runs with the same joined text, not one token with one token, on one page or within a few rows."""
-    r = runs(toks, longest)
-    s, t = _sides(r, ["seq", "n", "key", "row", "page", "y0"])
-    return s.join(t, (s.pair_id == t.pair_id) & (s.s_key == t.t_key) & (s.s_n + t.t_n > 2)).drop(t.pair_id)
+    return _meet(runs(toks, longest), ["seq", "n", "row", "page", "y0"], ["key"]).where("s_n + t_n > 2")
 
 
 def match_split_words(toks: DataFrame) -> DataFrame:
@@ -125,9 +124,7 @@ def match_page_lcs(toks: DataFrame, limit: int = 400) -> DataFrame:
 
 def token_edges(toks: DataFrame) -> DataFrame:
     """Pairs of equal tokens on the same page."""
-    cols = ["row", "idx", "page", "text", "x0", "y0", "font_size"]
-    s, t = _sides(toks, cols)
-    e = s.join(t, (s.pair_id == t.pair_id) & (s.s_page == t.t_page) & (s.s_text == t.t_text)).drop(t.pair_id)
+    e = _meet(toks, ["row", "idx", "x0", "y0", "font_size"], ["page", "text"])
     return e.withColumn("dy", F.abs(F.col("s_y0") - F.col("t_y0"))).withColumn("dx", F.abs(F.col("s_x0") - F.col("t_x0")))
 
 
@@ -159,8 +156,7 @@ def match_min_cost(toks: DataFrame) -> DataFrame:
 
 def reflow_edges(toks: DataFrame) -> DataFrame:
     """Equal tokens on one page within 2 rows or 38 points, or on adjacent pages within 5 rows."""
-    s, t = _sides(toks, ["row", "idx", "page", "text", "y0"])
-    e = s.join(t, (s.pair_id == t.pair_id) & (s.s_text == t.t_text)).drop(t.pair_id)
+    e = _meet(toks, ["row", "idx", "page", "y0"], ["text"])
     rows, pages = F.abs(F.col("s_row") - F.col("t_row")), F.abs(F.col("s_page") - F.col("t_page"))
     return e.where(((pages == 0) & ((rows <= 2) | (F.abs(F.col("s_y0") - F.col("t_y0")) <= 38.0))) | ((pages == 1) & (rows <= 5)))
 
@@ -182,8 +178,7 @@ def match_sequences(toks: DataFrame) -> DataFrame:
     seq = W.partitionBy("pair_id", "side").orderBy("row", "idx")
     w = toks.withColumn("seq", F.row_number().over(seq)).withColumn("gram", F.concat_ws("\u0001", "text", F.lead("text").over(seq))).withColumn(
         "last", F.lead("text").over(seq).isNull()).where("not last")
-    s, t = _sides(w, ["seq", "gram", "row", "page"])
-    e = s.join(t, (s.pair_id == t.pair_id) & (s.s_gram == t.t_gram)).drop(t.pair_id).where(_near(SEQUENCE_SHIFT)).withColumn(
+    e = _meet(w, ["seq", "row", "page"], ["gram"]).where(_near(SEQUENCE_SHIFT)).withColumn(
         "diag", F.col("s_seq") - F.col("t_seq"))
     step = F.col("s_seq") - F.row_number().over(W.partitionBy("pair_id", "diag").orderBy("s_seq"))
     run = e.withColumn("g", step).groupBy("pair_id", "diag", "g").agg(F.min("s_seq").alias("s_seq"), F.min("t_seq").alias("t_seq"), (F.count("*") + 1).alias("s_n"))
@@ -193,10 +188,11 @@ def match_sequences(toks: DataFrame) -> DataFrame:
 def prune_common_prefix(toks: DataFrame) -> DataFrame:
     """Unmatched tokens at one spot that share a word glued to different numbers keep only the rest."""
     long = toks.where(F.length("text") >= 4)
-    s, t = _sides(long, ["row", "idx", "page", "text", "x0", "y0"])
-    spot = (s.pair_id == t.pair_id) & (s.s_page == t.t_page) & (F.abs(s.s_y0 - t.t_y0) <= 16) & (F.abs(s.s_x0 - t.t_x0) <= 85)
+    spot = (F.abs(F.col("s_y0") - F.col("t_y0")) <= 16) & (F.abs(F.col("s_x0") - F.col("t_x0")) <= 85)
     head = lambda c: F.regexp_extract(c, r"^(\p{L}+)", 1)
-    e = s.join(t, spot).drop(t.pair_id).withColumn("n", F.length(common_prefix(head(F.col("s_text")), head(F.col("t_text")))))
+    # The shared first three letters are an equality, so tokens do not meet everything around them.
+    long = long.withColumn("lead", F.substring("text", 1, 3))
+    e = _meet(long, ["row", "idx", "text", "x0", "y0"], ["page", "lead"]).where(spot).withColumn("n", F.length(common_prefix(head(F.col("s_text")), head(F.col("t_text")))))
     after = lambda c: F.substring(c, F.col("n") + 1, F.lit(1))
     e = e.where("n >= 3 and n < length(s_text) and n < length(t_text)").where(
         after(F.col("s_text")).rlike(r"\d") | after(F.col("t_text")).rlike(r"\d"))

@@ -18,12 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def documents(spark: SparkSession, sf_dir: str, side: str, with_text: bool = True) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str, side: str, with_text: bool = True, paired: bool = False) -> DataFrame:
     """Files of one side.
 
     Documents labelled toxic are missing on the obtained side; documents labelled good quality are
     the ones whose content changes. File names on the obtained side depend on the language: the same
-    name, a date suffix, another prefix with the same number, or an unrelated name.
+    name, a date suffix, another prefix with the same number, or an unrelated name. `paired` leaves out
+    expected documents that are missing on the other side.
     """
     docs = table(spark, sf_dir, "documents")
     marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(
@@ -31,10 +32,11 @@ def documents(spark: SparkSession, sf_dir: str, side: str, with_text: bool = Tru
     docs = docs.join(marks, "doc_id", "left")
     channel = F.when(F.substring("source", 4, 9).cast("int") < 7, "Broker").otherwise("Bank")
     number = F.lpad(F.col("doc_id").cast("string"), 8, "0")
+    if side == "T" or paired:
+        docs = docs.where(F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     if side == "S":
         folder, name = F.lit("Source"), F.concat(F.lit("DOC_"), number)
     else:
-        docs = docs.where(F.coalesce(F.col("toxic"), F.lit(0)) == 0)
         folder = F.lit("2026_R11/Target")
         name = (F.when(F.col("lang") == "fr", F.concat(F.lit("DOC_"), number, F.lit("_cible-2026-11-10")))
                 .when(F.col("lang") == "de", F.concat(F.lit("ANNEX_"), number))
@@ -92,6 +94,12 @@ def words(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     return place(tokens(spread(documents(spark, sf_dir, side), "doc_id")))
 
 
+def pair_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of both sides of every pair, hashed by `pair_id` (the document number)."""
+    both = documents(spark, sf_dir, "S", paired=True).unionByName(documents(spark, sf_dir, "T"))
+    return place(tokens(spread(both.withColumnRenamed("doc_id", "pair_id"), "pair_id").withColumn("doc_id", F.col("pair_id")))).drop("doc_id")
+
+
 def both_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(spark, sf_dir, "S").unionByName(words(spark, sf_dir, "T"))
 
