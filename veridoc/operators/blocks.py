@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from veridoc.functions.amounts import classify
-from veridoc.functions.text import clean_word
+from veridoc.functions.text import clean_word, fold
 from veridoc.operators.kernels import common_words, changed_rows
 
 SIDE = ["pair_id", "side"]
@@ -228,8 +228,8 @@ def suppress_by_signature(blocks: DataFrame, rules: DataFrame) -> DataFrame:
     """Drop blocks that an enabled rule in scope carries by signature (case-insensitive)."""
     from veridoc.sources.rules import scope_keys
     r = scope_keys(rules.where("is_enabled and coalesce(ignored_signature, '') <> ''")).select(
-        F.upper("ignored_signature").alias("_sig"), F.coalesce("scope_key", F.lit("*")).alias("_scope")).distinct()
-    b = blocks.withColumn("_sig", F.upper("signature"))
+        fold(F.col("ignored_signature")).alias("_sig"), F.coalesce("scope_key", F.lit("*")).alias("_scope")).distinct()
+    b = blocks.withColumn("_sig", fold(F.col("signature")))
     anywhere = b.join(r.where("_scope = '*'"), "_sig", "left_anti")
     return anywhere.withColumn("_scope", F.upper("product")).join(r, ["_sig", "_scope"], "left_anti").drop("_sig", "_scope")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from veridoc.functions.text import one_line
+from veridoc.functions.text import fold, one_line
 from veridoc.operators.ranking import connected_components
 from veridoc.session import cut
 
@@ -77,7 +77,7 @@ def group_across_documents(blocks: DataFrame, order: list[str]) -> DataFrame:
 def first_contexts(blocks: DataFrame, keys: list[str], order: list[str], k: int = 2) -> DataFrame:
     """Up to k contexts per group, each once (case-insensitive), in order of appearance, joined by ' / '."""
     ctx = F.trim(F.when(F.trim("context_before") != "", F.col("context_before")).otherwise(F.col("context_after")))
-    c = blocks.withColumn("_ctx", ctx).where("_ctx <> ''").groupBy(*keys, F.upper("_ctx").alias("_u")).agg(
+    c = blocks.withColumn("_ctx", ctx).where("_ctx <> ''").groupBy(*keys, fold(F.col("_ctx")).alias("_u")).agg(
         F.min(F.struct(*order, "_ctx")).alias("_o"))
     best = top_k(c, keys, [F.col("_o"), F.col("_u")], k)
     return best.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("_o._ctx").alias("c")))), lambda x: x["c"]), " / ").alias("contexts"))

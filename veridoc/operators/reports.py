@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from veridoc.functions.text import strip_badge
+from veridoc.functions.text import fold, strip_badge
 from veridoc.operators.grouping import same_spot
 
 STATUS_ORDER = ["Different", "Error", "MissingInTarget", "Identical"]
@@ -134,8 +134,8 @@ def approve_differences(blocks: DataFrame, approved: DataFrame) -> DataFrame:
 
 def apply_text_rule(blocks: DataFrame, rule_signatures: DataFrame) -> DataFrame:
     """Retract blocks by signature (case-insensitive) in all products."""
-    return blocks.withColumn("_sig", F.upper("signature")).join(
-        rule_signatures.select(F.upper("signature").alias("_sig")).distinct(), "_sig", "left_anti").drop("_sig")
+    return blocks.withColumn("_sig", fold(F.col("signature"))).join(
+        rule_signatures.select(fold(F.col("signature")).alias("_sig")).distinct(), "_sig", "left_anti").drop("_sig")
 
 
 def review_filter(rows: DataFrame, verified: DataFrame, channel: str | None = None, product: str | None = None) -> DataFrame:

@@ -46,7 +46,7 @@ cte("blocks", r"""SELECT pair_id, seq, change_type, old_text, new_text, page, CA
   WHERE s.x IS NULL OR t.x IS NULL OR s.x <> t.x) JOIN (SELECT doc_id AS pair_id, product, channel FROM docs WHERE side = 'T') USING (pair_id)""", "pbox", "docs")
 
 
-@query("h10_classify_block", with_(r"""SELECT l_orderkey, l_linenumber, CASE WHEN flag = 'A' THEN 'number_format' ELSE 'amount' END AS category FROM tax
+@query("h10_classify_block", with_(r"""SELECT l_orderkey, l_linenumber, CASE WHEN flag = 'A' AND NOT contains(old_text, ',') THEN 'number_format' ELSE 'amount' END AS category FROM tax
   WHERE flag <> 'N' AND NOT (flag = 'R' AND old_text = new_text)""", "tax"))
 def h10(spark, sf_dir):
     d = tax_pairs(spark, sf_dir).where("flag <> 'N' and not (flag = 'R' and old_text = new_text)")

@@ -20,12 +20,3 @@ def scan_words(spark, sf_dir):
         F.count("*").alias("n_words"), F.min("x0").alias("min_x"), F.max("x1").alias("max_x"),
         F.min("y0").alias("min_y"), F.max("y1").alias("max_y"),
         F.max(F.md5(F.concat("text", F.col("pos").cast("string")))).alias("digest"))
-
-
-@query("zz_raw", with_("""SELECT side, doc_id, page, count(*) AS n_words, min(x0) AS min_x, max(x1) AS max_x,
-  min(y0) AS min_y, max(y1) AS max_y, max(md5(text || pos||sub)) AS digest, sum(font_size) as f, count_if(horizontal) h, sum(x0) as sx FROM raw_words GROUP BY ALL""", "raw_words"))
-def raw(spark, sf_dir):
-    return corpus.raw_words(spark, sf_dir, "S").unionByName(corpus.raw_words(spark, sf_dir, "T")).groupBy("side", "doc_id", "page").agg(
-        F.count("*").alias("n_words"), F.min("x0").alias("min_x"), F.max("x1").alias("max_x"),
-        F.min("y0").alias("min_y"), F.max("y1").alias("max_y"),
-        F.max(F.md5(F.concat("text", F.col("pos").cast("string"),F.col("sub").cast("string")))).alias("digest"), F.sum("font_size").alias("f"),F.expr("count_if(horizontal) h"),F.sum("x0").alias("sx"))
