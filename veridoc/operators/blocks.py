@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from veridoc.functions.amounts import classify
 from veridoc.functions.text import clean_word, fold
-from veridoc.operators.kernels import common_words, changed_rows
+from veridoc.operators.kernels import common_words
+from veridoc.session import cut
 
 SIDE = ["pair_id", "side"]
 
@@ -178,10 +179,14 @@ def verify_blocks(blocks: DataFrame, critical: str, sanitize=None) -> DataFrame:
     """Texts cleaned by rules, common words trimmed; blocks without a real change or of equal numeric value drop out."""
     if sanitize is not None:
         blocks = blocks.withColumn("old_text", sanitize(F.col("old_text"))).withColumn("new_text", sanitize(F.col("new_text")))
-    b = collapse_unchanged_middle(trim_common_affixes(blocks)).drop("old_words", "new_words")
+    # Blocks are few. They are stored between the steps, because a filter pushed down through this chain of
+    # text expressions would repeat all of them in every predicate.
+    b = cut(trim_common_affixes(cut(blocks)))
+    b = cut(collapse_unchanged_middle(b).drop("old_words", "new_words"))
     b = b.where(clean_word(F.col("old_text")) != clean_word(F.col("new_text"))).withColumn(
-        "changed", changed_tokens(F.col("old_text"), F.col("new_text"))).where("size(changed) > 0")
-    return type_and_classify(b, critical).where("category not in ('number_format', 'format')").drop("changed")
+        "changed", changed_tokens(F.col("old_text"), F.col("new_text")))
+    b = cut(b).where("size(changed) > 0")
+    return cut(type_and_classify(b, critical)).where("category not in ('number_format', 'format')").drop("changed")
 
 
 def type_and_classify(b: DataFrame, critical: str) -> DataFrame:
@@ -220,7 +225,8 @@ def merge_delete_insert(blocks: DataFrame, critical: str, order: list[str]) -> D
     boxes = {c: fold_box(c) for c in BOX}
     own = [c for c in blocks.columns if c not in ("old_text", "new_text", "page", "category", "severity", "delta_text", "signature", "change_type", *BOX)]
     m = m.select(*own, F.col("_old").alias("old_text"), F.col("_new").alias("new_text"), F.col("_ins.page").alias("page"), *[v.alias(c) for c, v in boxes.items()])
-    m = type_and_classify(m.withColumn("changed", changed_tokens(F.col("old_text"), F.col("new_text"))).where("size(changed) > 0"), critical)
+    m = cut(m.withColumn("changed", changed_tokens(F.col("old_text"), F.col("new_text")))).where("size(changed) > 0")
+    m = cut(type_and_classify(m, critical))
     return plain.unionByName(m.where("category not in ('number_format', 'format')").select(*blocks.columns))
 
 

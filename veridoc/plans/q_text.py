@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from veridoc.functions import amounts as A, paths as P, text as X
+from veridoc.plans import q_pairing  # noqa: F401  (states the file key tables)
 from veridoc.plans.oracle import cte, with_
 from veridoc.plans.registry import query
 from veridoc.sources import corpus
