@@ -9,8 +9,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-HEADLINE = ["j1_pair_exact_name", "j5_content_score", "b5_exclude_zones", "e11_masked_text", "k1_mask_words",
-            "g1_common_line_counts", "g1_line_diff", "r10_cost_edges", "g5_group_across_documents", "g14_kpis"]
+HEADLINE = ["j1_pair_exact_name", "j2_pair_canonical_stem", "j5_content_score", "b5_exclude_zones", "e11_masked_text",
+            "g16_token_occurrences", "k1_mask_words"]
 
 
 def main() -> None:
