@@ -1,4 +1,4 @@
 """All registered queries of this package."""
 
 from veridoc.llm.registry import QUERIES, SQL  # noqa: F401
-from veridoc.llm import q_language  # noqa: F401
+from veridoc.llm import q_language, q_tokens  # noqa: F401
