@@ -57,6 +57,7 @@ class StreamDedup:
             F.count("*").alias("rows"), F.max(F.struct("id", "file", "row")).alias("stays"))
         with settings(self.spark, spark__sql__streaming__stateStore__providerClass=_STORE,
                       spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
+                      spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
                       spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
                       spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="200"):
             (state.writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{self.folder}/state")
