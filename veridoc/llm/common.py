@@ -7,12 +7,16 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veridoc.session import BROADCAST_LIMIT, input_bytes, small
+from veridoc.session import input_bytes, plan_bytes
 
-__all__ = ["BROADCAST_LIMIT", "input_bytes", "small", "table", "shared_folder", "store", "settings", "word_pattern",
-           "lower_ascii"]
+__all__ = ["BROADCAST_LIMIT", "input_bytes", "small", "table", "shared_folder", "store", "stored", "place", "without_places",
+           "settings", "word_pattern", "lower_ascii"]
+
+#: A side of a join is broadcast only if the planner's size for it, the size of its files once stored, is below this.
+BROADCAST_LIMIT = 4 << 20
 
 #: One word: a run of characters other than space, tab, line feed, vertical tab, form feed, carriage return.
 word_pattern = r"[^\x20\x09-\x0D]+"
@@ -33,6 +37,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if plan_bytes(df) <= BROADCAST_LIMIT else df
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors."""
     path = shared_folder(df.sparkSession, name)
@@ -40,6 +48,28 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """`docs` itself if its rows have places in files, else a stored copy."""
+    try:
+        docs.select(*place(docs))
+        return docs
+    except AnalysisException:
+        return store(docs, "rows")
+
+
+def place(docs: DataFrame) -> tuple[Column, Column]:
+    """File and row number of each row of a table that is read from Parquet files, possibly filtered."""
+    hidden = docs.metadataColumn("_metadata")
+    return hidden.getField("file_path").alias("file"), hidden.getField("row_index").cast("long").alias("row")
+
+
+def without_places(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `docs` whose (file, row) is not in `gone`."""
+    gone = small(store(gone.select(F.col("file").alias("gone_file"), F.col("row").alias("gone_row")), "gone"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), *place(docs))
+    return whole.join(gone, (F.col("file") == F.col("gone_file")) & (F.col("row") == F.col("gone_row")), "left_anti").select("whole.*")
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """Session settings (dots written as double underscores) for the time of a block."""

@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from veridoc.llm.common import small, store
+from veridoc.llm.common import place, small, store, stored, without_places
 from veridoc.llm.components import connected_components
 
 SEED = 42
@@ -51,29 +51,17 @@ def fingerprint(text: str | None, words: int = 3, seed: int = SEED) -> int:
     return int(np.packbits(ones.ravel() * 2 > len(last), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
-    """All columns of `docs` but one called `name`, which is replaced, and the fingerprint as a signed long."""
-    source = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != name))
-    at = source.columns.index(text)
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """`rows` without its column `t`, a text, and with its fingerprint `fp` as a signed long."""
+    kept = [c for c in rows.columns if c != "t"]
+    source = rows.select(*kept, "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, name])
+            values = np.array([fingerprint(t) for t in batch.column(len(kept)).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(values)], [*kept, "fp"])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(name, T.LongType())]))
-
-
-def only_fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, fp): the text does not come back from Python."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["id", "fp"])
-
-    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(
-        run, "id long, fp long")
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[:len(kept)], T.StructField("fp", T.LongType())]))
 
 
 def _nearest(fp: Column, half: int) -> tuple[Column, Column]:
@@ -134,6 +122,15 @@ def links(prints: DataFrame, members: int = ANCHOR_MEMBERS) -> DataFrame:
     return near.union(shared)
 
 
+def classes(prints: DataFrame, best: Column) -> DataFrame:
+    """(fp, first) for a stored table of fingerprints: the least value of `best` that each can reach by links."""
+    distinct = store(prints.groupBy("fp").agg(F.min(best).alias("least")), "distinct")
+    found = connected_components(links(distinct.select("fp")))
+    grouped = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    first = grouped.groupBy("component").agg(F.min("least").alias("first"))
+    return store(grouped.select("fp", "component").join(first, "component").select("fp", "first"), "classes")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): one row per row of `docs`; component_id is the smallest id reachable by links.
 
@@ -141,11 +138,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     a null id get the component of their fingerprint, null if no row with an id is reachable. An empty table gives an
     empty one. Whole texts are read; other columns are not.
     """
-    prints = store(only_fingerprints(docs, key, text), "prints")
-    distinct = store(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    found = connected_components(links(distinct.select("fp")))
-    grouped = distinct.join(found, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = store(grouped.select("fp", "component").join(least, "component").select("fp", "component_id"), "classes")
-    return prints.join(ids, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
+    prints = store(fingerprints(rows), "prints")
+    return prints.join(classes(prints, F.col("id")), "fp").select(F.col("id").alias("doc_id"), "fp", F.col("first").alias("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` that stay, one of each group: the smallest id, null ids last; of rows with that id the one stored first."""
+    source = stored(docs)
+    rows = source.select(F.col(f"`{key}`").cast("long").alias("id"), *place(source), F.col(f"`{text}`").cast("string").alias("t"))
+    prints = store(fingerprints(rows), "prints")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "file", "row")
+    gone = prints.withColumn("rank", rank).join(classes(prints, rank), "fp").filter(~F.col("rank").eqNullSafe(F.col("first")))
+    return without_places(source, gone)

@@ -9,10 +9,9 @@ and SQL functions.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from veridoc.llm.common import lower_ascii, settings, shared_folder, small, store
+from veridoc.llm.common import lower_ascii, place, settings, shared_folder, small, store, stored, without_places
 
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LOG = T.StructType([T.StructField("digest", T.StringType()), T.StructField("id", T.LongType()), T.StructField("file", T.StringType()),
@@ -41,9 +40,7 @@ class StreamDedup:
 
         `docs` must be read from files, possibly filtered; that is what makes its rows addressable.
         """
-        place = docs.metadataColumn("_metadata")
-        return docs.select(F.col(f"`{self.key}`").cast("long").alias("id"), place.getField("file_path").alias("file"),
-                           place.getField("row_index").cast("long").alias("row"),
+        return docs.select(F.col(f"`{self.key}`").cast("long").alias("id"), *place(docs),
                            normal_text(F.col(f"`{self.text}`")).alias("t")).withColumn("digest", self.digest(F.col("t")))
 
     def add(self, docs: DataFrame) -> None:
@@ -94,15 +91,6 @@ class StreamDedup:
                             here.alias("kept"))
 
 
-def stored(docs: DataFrame) -> DataFrame:
-    """`docs` itself if its rows have places in files, else a stored copy."""
-    try:
-        docs.select(docs.metadataColumn("_metadata").getField("row_index"))
-        return docs
-    except AnalysisException:
-        return store(docs, "rows")
-
-
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, digest, file, row) of every row of `docs`, dropped ones too.
 
@@ -119,9 +107,4 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *
 def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that stay. The rows that go are fewer and are what is matched by place."""
     source = stored(docs)
-    gone = small(store(exact_duplicates(source, key, text).filter("not kept").select(
-        F.col("file").alias("gone_file"), F.col("row").alias("gone_row")), "gone"))
-    place = source.metadataColumn("_metadata")
-    whole = source.select(F.struct(*(F.col(f"`{c}`") for c in source.columns)).alias("whole"), place.getField("file_path").alias("at_file"),
-                          place.getField("row_index").alias("at_row"))
-    return whole.join(gone, (F.col("at_file") == F.col("gone_file")) & (F.col("at_row") == F.col("gone_row")), "left_anti").select("whole.*")
+    return without_places(source, exact_duplicates(source, key, text).filter("not kept"))
