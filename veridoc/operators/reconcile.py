@@ -1,19 +1,21 @@
 """Passes that settle unmatched tokens: moved, split, re-flowed or re-joined text is no difference.
 
 `toks` holds the unmatched tokens of both sides: (pair_id, side, row, idx, page, text, x0, y0, font_size, ...).
-Every pass returns matched keys (pair_id, side, row, idx); `without` removes them. Where the order of choices matters,
-it is a stated total order: reading order (row, idx), or cost first.
+Every pass returns matched keys (pair_id, side, row, idx); `without` removes them. Choices depend on the choices before
+them, in reading order (row, idx) or by cost, so `settle` decides them where the tokens of a pair meet; `*_edges` give all
+candidates of a pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from veridoc.operators import kernels as K
-from veridoc.operators.ranking import greedy_one_to_one
+from veridoc.operators import settle as S
+from veridoc.operators.settle import NEAR_X, NEAR_Y, SEQUENCE_SHIFT
 
 KEY = ["pair_id", "side", "row", "idx"]
-LINE_SHIFT, SEQUENCE_SHIFT, NEAR_X, NEAR_Y = 30, 25, 480.0, 60.0
 
 
 def without(toks: DataFrame, matched: DataFrame) -> DataFrame:
@@ -32,34 +34,28 @@ def _near(shift: int) -> Column:
     return (F.col("s_page") == F.col("t_page")) | (F.abs(F.col("s_row") - F.col("t_row")) <= shift)
 
 
-def _keys(df: DataFrame, *spans: tuple[str, str]) -> DataFrame:
-    """Keys of both ends; each span is (side prefix, array column of idx, or idx itself)."""
-    parts = [df.select("pair_id", F.lit(p.upper()).alias("side"), F.col(f"{p}_row").alias("row"), F.explode(c).alias("idx")) for p, c in spans]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.distinct()
+def settled(toks: DataFrame, *passes) -> DataFrame:
+    """Keys of the tokens that the given passes settle, one after another; all of them if none is named."""
+    cols = ["side", "row", "idx", "page", "text", "x0", "y0", "font_size"]
+    types = {f.name: f.dataType for f in toks.schema}
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["row", "idx"], kind="stable")
+        parts = [pdf[pdf["side"] == side] for side in ("S", "T")]
+        sides = [S.Side(*(part[c].tolist() for c in cols[1:2] + cols[3:])) for part in parts]
+        for one in passes or S.PASSES:
+            one(*sides)
+        return pd.concat([part[~np.array(side.free, dtype=bool)] for part, side in zip(parts, sides)])[KEY]
 
-def match_lines(toks: DataFrame, glue: str, shift: int = LINE_SHIFT, least: int = 1) -> DataFrame:
-    """Rows whose remaining tokens read the same: k-th occurrence with k-th occurrence, on one page or few rows apart.
-
-    `glue=''` ignores how words are cut (spaceless lines); a separator compares token by token (moved lines).
-    """
-    rows = toks.groupBy("pair_id", "side", "row").agg(
-        F.expr(f"listagg(text, '{glue}') within group (order by idx)").alias("key"), F.min("page").alias("page"),
-        F.array_sort(F.collect_list("idx")).alias("ids")).where(F.size("ids") >= least)
-    rows = rows.withColumn("k", F.row_number().over(W.partitionBy("pair_id", "side", "key").orderBy("row")))
-    hit = _meet(rows, ["row", "page", "ids"], ["key", "k"]).where(_near(shift))
-    return _keys(hit, ("s", "s_ids"), ("t", "t_ids"))
+    return toks.select("pair_id", *cols).groupBy("pair_id").applyInPandas(run, T.StructType([T.StructField(k, types[k]) for k in KEY]))
 
 
 def match_spaceless_lines(toks: DataFrame) -> DataFrame:
-    return match_lines(toks, "")
+    return settled(toks, S.spaceless_lines)
 
 
 def match_moved_lines(toks: DataFrame) -> DataFrame:
-    return match_lines(toks, "\u0001", least=2)
+    return settled(toks, S.moved_lines)
 
 
 def runs(toks: DataFrame, longest: int, shortest: int = 1) -> DataFrame:
@@ -78,22 +74,6 @@ def runs(toks: DataFrame, longest: int, shortest: int = 1) -> DataFrame:
         "pair_id", "side", "seq", "row", "page", "x0", "y0", "o.n", "o.key")
 
 
-def _settle_runs(toks: DataFrame, edges: DataFrame) -> DataFrame:
-    """Runs matched one to one in reading order; a run whose token another run has taken is dropped."""
-    edges = edges.withColumn("rank", F.struct("s_seq", "s_n", "t_seq", "t_n"))
-    best_s = edges.groupBy("pair_id", "s_seq").agg(F.min("rank").alias("rank")).select("pair_id", "rank")
-    best_t = edges.groupBy("pair_id", "t_seq").agg(F.min("rank").alias("rank")).select("pair_id", "rank")
-    kept = best_s.join(best_t, ["pair_id", "rank"]).select("pair_id", "rank.*")
-    for p in ("s", "t"):
-        order = W.partitionBy("pair_id").orderBy(f"{p}_seq")
-        before = F.max(F.col(f"{p}_seq") + F.col(f"{p}_n")).over(order.rowsBetween(W.unboundedPreceding, -1))
-        kept = kept.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") <= F.col(f"{p}_seq"))).drop("_b")
-    taken = kept.select("pair_id", F.lit("S").alias("side"), F.explode(F.expr("sequence(s_seq, s_seq + s_n - 1)")).alias("seq")).union(
-        kept.select("pair_id", F.lit("T").alias("side"), F.explode(F.expr("sequence(t_seq, t_seq + t_n - 1)")).alias("seq")))
-    seq = W.partitionBy("pair_id", "side").orderBy("row", "idx")
-    return toks.withColumn("seq", F.row_number().over(seq)).join(taken, ["pair_id", "side", "seq"], "left_semi").select(*KEY)
-
-
 def run_edges(toks: DataFrame, longest: int) -> DataFrame:
     """Pairs of runs with the same joined text, not one token with one token, on one page or within a few rows."""
     return _meet(runs(toks, longest), ["seq", "n", "row", "page", "y0"], ["key"]).where("s_n + t_n > 2")
@@ -101,25 +81,17 @@ def run_edges(toks: DataFrame, longest: int) -> DataFrame:
 
 def match_split_words(toks: DataFrame) -> DataFrame:
     """2 or 3 fragments with 1 word, 1 with 2 or 3, 2 with 2 cut elsewhere."""
-    ok = ((F.col("s_n") == 1) | (F.col("t_n") == 1) | ((F.col("s_n") == 2) & (F.col("t_n") == 2))) & _near(SEQUENCE_SHIFT)
-    return _settle_runs(toks, run_edges(toks, 3).where(ok))
+    return settled(toks, S.split_words)
 
 
 def match_spaceless_runs(toks: DataFrame) -> DataFrame:
     """1 to 6 tokens with 1 to 6 tokens of the same joined text, on one page within 65 points."""
-    ok = (F.col("s_page") == F.col("t_page")) & (F.abs(F.col("s_y0") - F.col("t_y0")) <= 65.0) & (F.length("s_key") >= 2)
-    return _settle_runs(toks, run_edges(toks, 6).where(ok))
+    return settled(toks, S.spaceless_runs)
 
 
-def match_page_lcs(toks: DataFrame, limit: int = 400) -> DataFrame:
-    """Per page: longest common token sequence within 85 points of height (pages with more tokens are left to other passes)."""
-    arr = toks.groupBy("pair_id", "page").agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct(
-        "row", "idx", F.xxhash64("text").alias("h"), "y0")))).alias(s) for s in ("S", "T")])
-    arr = arr.where(F.size("S").between(1, limit) & F.size("T").between(1, limit))
-    m = arr.withColumn("m", K.common_near(F.col("S.h"), F.col("T.h"), F.col("S.y0"), F.col("T.y0")))
-    pick = lambda s, odd: m.select("pair_id", F.lit(s).alias("side"), F.explode(F.transform(
-        F.filter("m", lambda x, i: i % 2 == odd), lambda k: F.element_at(s, k + 1))).alias("k")).select("pair_id", "side", "k.row", "k.idx")
-    return pick("S", 0).union(pick("T", 1))
+def match_page_lcs(toks: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per page: longest common token sequence within 85 points of height; pages with more tokens than `limit` are left out."""
+    return settled(toks, lambda s, t: S.page_lcs(s, t, limit))
 
 
 def token_edges(toks: DataFrame) -> DataFrame:
@@ -128,20 +100,12 @@ def token_edges(toks: DataFrame) -> DataFrame:
     return e.withColumn("dy", F.abs(F.col("s_y0") - F.col("t_y0"))).withColumn("dx", F.abs(F.col("s_x0") - F.col("t_x0")))
 
 
-def _one_to_one(edges: DataFrame, order: list[str]) -> DataFrame:
-    s, t = ["pair_id", "s_row", "s_idx"], ["pair_id", "t_row", "t_idx"]
-    e = edges.select("pair_id", "s_row", "s_idx", "t_row", "t_idx", *[c for c in order if c not in ("s_row", "s_idx", "t_row", "t_idx")])
-    m = greedy_one_to_one(e.withColumn("t_pair", F.col("pair_id")), s, ["t_pair", "t_row", "t_idx"], order)
-    return m.select("pair_id", F.lit("S").alias("side"), F.col("s_row").alias("row"), F.col("s_idx").alias("idx")).union(
-        m.select("pair_id", F.lit("T"), "t_row", "t_idx"))
-
-
 def nearby_edges(toks: DataFrame) -> DataFrame:
     return token_edges(toks).where((F.col("dy") < F.greatest(F.lit(NEAR_Y), F.col("s_font_size") * 4.5)) & (F.col("dx") < NEAR_X))
 
 
 def match_nearby_word(toks: DataFrame) -> DataFrame:
-    return _one_to_one(nearby_edges(toks), ["s_row", "s_idx", "t_row", "t_idx"])
+    return settled(toks, S.nearby_words)
 
 
 def cost_edges(toks: DataFrame) -> DataFrame:
@@ -151,7 +115,7 @@ def cost_edges(toks: DataFrame) -> DataFrame:
 
 
 def match_min_cost(toks: DataFrame) -> DataFrame:
-    return _one_to_one(cost_edges(toks), ["cost", "s_row", "s_idx", "t_row", "t_idx"])
+    return settled(toks, S.cheapest_pairs)
 
 
 def reflow_edges(toks: DataFrame) -> DataFrame:
@@ -162,27 +126,13 @@ def reflow_edges(toks: DataFrame) -> DataFrame:
 
 
 def match_reflow(toks: DataFrame) -> DataFrame:
-    """First free partner in reading order; matches that cross an earlier one are given up."""
-    edges = reflow_edges(toks)
-    s, t = ["pair_id", "s_row", "s_idx"], ["t_pair", "t_row", "t_idx"]
-    m = greedy_one_to_one(edges.select("pair_id", F.col("pair_id").alias("t_pair"), "s_row", "s_idx", "t_row", "t_idx"), s, t,
-                          ["s_row", "s_idx", "t_row", "t_idx"])
-    seen = W.partitionBy("pair_id").orderBy("s_row", "s_idx").rowsBetween(W.unboundedPreceding, -1)
-    m = m.withColumn("far", F.max(F.struct("t_row", "t_idx")).over(seen)).where("far is null or struct(t_row, t_idx) > far")
-    return m.select("pair_id", F.lit("S").alias("side"), F.col("s_row").alias("row"), F.col("s_idx").alias("idx")).union(
-        m.select("pair_id", F.lit("T"), "t_row", "t_idx"))
+    """First open partner in reading order that does not lie before an earlier match."""
+    return settled(toks, S.reflow)
 
 
 def match_sequences(toks: DataFrame) -> DataFrame:
-    """Equal runs of two or more tokens: bigrams join, neighbours on one diagonal form a run, one run per token."""
-    seq = W.partitionBy("pair_id", "side").orderBy("row", "idx")
-    w = toks.withColumn("seq", F.row_number().over(seq)).withColumn("gram", F.concat_ws("\u0001", "text", F.lead("text").over(seq))).withColumn(
-        "last", F.lead("text").over(seq).isNull()).where("not last")
-    e = _meet(w, ["seq", "row", "page"], ["gram"]).where(_near(SEQUENCE_SHIFT)).withColumn(
-        "diag", F.col("s_seq") - F.col("t_seq"))
-    step = F.col("s_seq") - F.row_number().over(W.partitionBy("pair_id", "diag").orderBy("s_seq"))
-    run = e.withColumn("g", step).groupBy("pair_id", "diag", "g").agg(F.min("s_seq").alias("s_seq"), F.min("t_seq").alias("t_seq"), (F.count("*") + 1).alias("s_n"))
-    return _settle_runs(toks, run.select("pair_id", "s_seq", "t_seq", "s_n", F.col("s_n").alias("t_n")))
+    """Equal runs of two or more tokens, each as long as it goes."""
+    return settled(toks, S.sequences)
 
 
 def prune_common_prefix(toks: DataFrame) -> DataFrame:

@@ -91,25 +91,33 @@ def r1(spark, sf_dir):
     return L.joined_fragments(cut(L.inline_lcs(cut(unmatched(spark, sf_dir))))).select("pair_id", "side", "row", "idx", "text")
 
 
-def line_match_sql(glue, least, shift=30):
+def line_match_sql(least, shift=30):
+    """Each source line in order takes the first free target line of its key that is near."""
     return with_(f"""SELECT DISTINCT doc_id AS pair_id, side, row, idx FROM (
-     SELECT s.doc_id, 'S' AS side, s.row AS row, unnest(s.ids) AS idx FROM g s JOIN g t ON s.doc_id = t.doc_id AND s.side = 'S' AND t.side = 'T' AND s.key = t.key AND s.k = t.k
-       WHERE s.page = t.page OR abs(s.row - t.row) <= {shift} UNION ALL
-     SELECT t.doc_id, 'T', t.row, unnest(t.ids) FROM g s JOIN g t ON s.doc_id = t.doc_id AND s.side = 'S' AND t.side = 'T' AND s.key = t.key AND s.k = t.k
-       WHERE s.page = t.page OR abs(s.row - t.row) <= {shift})""", f"g_{least}").replace(f"g_{least} AS", "g AS")
+     SELECT doc_id, side, row, unnest(ids) AS idx FROM g JOIN (
+       SELECT doc_id, key, 'S' AS side, unnest(s_rows) AS row FROM walk WHERE i = len(ss) UNION ALL
+       SELECT doc_id, key, 'T', unnest(t_rows) FROM walk WHERE i = len(ss)) USING (doc_id, key, side, row))""", f"walk_{least}").replace(
+        f"walk_{least} AS", "walk AS").replace(f"g_{least} AS", "g AS").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 for _glue, _least in (("''", 1), ("chr(1)", 2)):
-    cte(f"g_{_least}", f"""SELECT *, row_number() OVER (PARTITION BY doc_id, side, key ORDER BY row) AS k FROM (SELECT doc_id, side, row,
-      string_agg(text, {_glue} ORDER BY idx) AS key, min(page) AS page, list(idx ORDER BY idx) AS ids FROM facing GROUP BY ALL) WHERE len(ids) >= {_least}""", "facing")
-
-
-@query("r2_match_spaceless_lines", line_match_sql("''", 1))
+    cte(f"g_{_least}", f"""SELECT doc_id, side, row, string_agg(text, {_glue} ORDER BY idx) AS key, min(page) AS page, list(idx ORDER BY idx) AS ids
+      FROM facing GROUP BY ALL HAVING count(*) >= {_least}""", "facing")
+    cte(f"lists_{_least}", """SELECT doc_id, key, list({'row': row, 'page': page} ORDER BY row) FILTER (WHERE side = 'S') AS ss,
+      list({'row': row, 'page': page} ORDER BY row) FILTER (WHERE side = 'T') AS ts FROM g GROUP BY ALL""", f"g_{_least}")
+    cte(f"walk_{_least}", f"""SELECT doc_id, key, ss, ts, 0 AS i, []::INT[] AS s_rows, []::INT[] AS t_rows FROM lists_{_least} WHERE ss IS NOT NULL AND ts IS NOT NULL
+      UNION ALL SELECT doc_id, key, ss, ts, i + 1, CASE WHEN m IS NULL THEN s_rows ELSE list_append(s_rows, ss[i + 1].row) END,
+        CASE WHEN m IS NULL THEN t_rows ELSE list_append(t_rows, m) END
+      FROM (SELECT *, list_filter(ts, lambda t: (t.page = ss[i + 1].page OR abs(t.row - ss[i + 1].row) <= 30) AND NOT list_contains(t_rows, t.row))[1].row AS m
+            FROM walk WHERE i < len(ss))""", f"lists_{_least}")
+
+
+@query("r2_match_spaceless_lines", line_match_sql(1))
 def r2(spark, sf_dir):
     return R.match_spaceless_lines(facing(spark, sf_dir))
 
 
-@query("r7_match_moved_lines", line_match_sql("chr(1)", 2))
+@query("r7_match_moved_lines", line_match_sql(2))
 def r7(spark, sf_dir):
     return R.match_moved_lines(facing(spark, sf_dir))
 
