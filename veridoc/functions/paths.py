@@ -20,9 +20,9 @@ DEFAULT_KEY = r"([A-Z]{2}_\d+_\d+)\.pdf$"
 SOURCE_FOLDERS = ["Source", "Sources", "Src", "Attendu", "Ref", "Reference", "Old", "Avant", "Prod"]
 TARGET_FOLDERS = ["Target", "Targets", "Trg", "Cible", "Obtenu", "Cand", "Candidat", "New", "Apres", "Après",
                   "Recette", "UAT"]
-OUTPUT_FOLDERS = ["Output", "Outputs", "Rapport", "Rapports", "PDF_DiffReports"]
+OUTPUT_FOLDERS = ["Output", "Outputs", "Rapport", "Rapports"]
 STRUCTURAL_FOLDERS = [
-    "Bank", "Banque", "Broker", "Brokers", "Courtier", "TIDES", "Life", "NonLife", "Non-Life", "Users", "Utilisateurs",
+    "Bank", "Banque", "Broker", "Brokers", "Courtier", "Life", "NonLife", "Non-Life", "Users", "Utilisateurs",
     "Downloads", "Téléchargements", "Telechargements", "Desktop", "Bureau", "Documents", "AppData", "Local", "Roaming",
     "Temp", "Tmp", "Standard", "Lot Principal", "Général", "General", "Lot", "Dossier", "Auto", "Docs", "PDF", "PDFs"]
 GLOBAL_SCOPES = ["*", "Global", "Globale", "Tous", "All"]
@@ -31,15 +31,16 @@ RELEASE_FOLDER = r"(?i)^(?:20\d{2}[_-]?R0?\d{1,2}|R0?\d{1,2})$"
 
 @dataclass(frozen=True)
 class Channels:
-    """Channel names with their folder aliases; the first one is the default."""
+    """Channel names with their folder aliases; the first one is the default.
+
+    File name patterns and product names that tell a channel, and the pattern of product codes in file names, belong to an
+    organisation and are given by it.
+    """
     aliases: dict[str, list[str]] = field(default_factory=lambda: {
         "Bank": ["Bank", "Banque"], "Broker": ["Broker", "Brokers", "Courtier"]})
-    file_marks: dict[str, list[str]] = field(default_factory=lambda: {
-        "Bank": [r"(?i)^FBB_", r"(?i)_FBB_"], "Broker": [r"(?i)^BRO_", r"(?i)_BRO_", r"(?i)BALVAN"]})
-    known_products: dict[str, list[str]] = field(default_factory=lambda: {
-        "Bank": ["SP.DH", "SP.EFP", "SP.FIB", "SP.FIP", "SP.FIX", "SP.PIP", "SP.SDR", "SP.SFP", "SP.SFP Private",
-                 "SP.SIP"],
-        "Broker": ["SP.016", "SP.017", "016", "017"]})
+    file_marks: dict[str, list[str]] = field(default_factory=dict)
+    known_products: dict[str, list[str]] = field(default_factory=dict)
+    product_code: str = r"(?i)(?<![A-Za-z0-9])(PR\.[A-Za-z0-9.]+)(?![A-Za-z0-9.])"
 
     @property
     def default(self) -> str:
@@ -191,7 +192,7 @@ def resolve_product(explicit: Column, source: Column, target: Column, channels:
         steps.append(F.when(~F.exists(segs, lambda x: among(x, ["Temp", "Tmp"])),
                             F.trim(F.try_element_at(segs, F.coalesce(_first(at), F.size(segs) + 1)))))
     for path in (target, source):
-        code = F.regexp_extract(stem(path), r"(?i)(?<![A-Za-z0-9])(SP\.[A-Za-z0-9.]+)(?![A-Za-z0-9.])", 1)
+        code = F.regexp_extract(stem(path), channels.product_code, 1)
         steps.append(F.when(code != "", code))
     return F.coalesce(*steps, F.when(~is_generic(explicit), F.trim(explicit)), F.lit(""))
 

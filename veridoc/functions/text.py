@@ -57,6 +57,11 @@ def clean_word(text: Column) -> Column:
     return F.lower(F.regexp_replace(map_glyphs(text), r"[^\p{L}\p{Nd}€$£%]", ""))
 
 
+def clean_raw_word(text: Column) -> Column:
+    """`clean_word` of a word that is not in NFKC yet; for columns only, not inside array functions."""
+    return F.lower(F.regexp_replace(nfkc(map_glyphs(text)), r"[^\p{L}\p{Nd}€$£%]", ""))
+
+
 def normalize_text(text: Column) -> Column:
     """Blanks collapsed, bullets and sentences on their own lines."""
     blank = r"[\s&&[^\r\n]]"
@@ -103,9 +108,12 @@ def strip_badge(name: Column) -> Column:
         F.trim(F.regexp_replace(name, r"^\[[^\]]*\](?=.)", "")))
 
 
-def flexible_pattern(text: Column) -> Column:
-    """Regex for a text: words escaped, blanks flexible, an ellipsis stands for 1 to 25 words."""
-    cut = F.trim(F.substring(F.trim(text), 1, 220))
+def flexible_pattern(text: Column, longest: int | None = None) -> Column:
+    """Regex for a text: words escaped, blanks flexible, an ellipsis stands for 1 to 25 words.
+
+    `longest` gives the number of leading characters that are used; all of them if it is None.
+    """
+    cut = F.trim(text) if longest is None else F.trim(F.substring(F.trim(text), 1, longest))
     escape = lambda w: F.regexp_replace(w, r"([\\*+?|{\[()^$.#])", r"\\$1")
     seg = lambda s: F.array_join(F.transform(F.filter(F.split(F.trim(s), r"(?U)\s+"), lambda w: w != ""), escape), r"\s+")
     parts = F.filter(F.transform(F.split(cut, "…"), seg), lambda s: s != "")

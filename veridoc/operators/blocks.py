@@ -157,9 +157,10 @@ def trim_common_affixes(blocks: DataFrame) -> DataFrame:
         "_o", "_n", "_p", "_pre", "_o2", "_n2", "_s", "_before", "_after")
 
 
-def collapse_unchanged_middle(blocks: DataFrame) -> DataFrame:
-    """Runs of two or more common words inside texts of 3 to 60 words become an ellipsis."""
-    inside = F.size("old_words").between(3, 60) & F.size("new_words").between(3, 60)
+def collapse_unchanged_middle(blocks: DataFrame, longest: int | None = None) -> DataFrame:
+    """Runs of two or more common words inside texts of 3 words or more become an ellipsis; `longest` limits the words."""
+    fits = lambda words: (F.size(words) >= 3) & (F.lit(True) if longest is None else F.size(words) <= longest)
+    inside = fits("old_words") & fits("new_words")
     # Words that are empty after cleaning never match: they hash to values that differ by side.
     h = lambda a, side: F.transform(a, lambda x: F.when(clean_word(x) == "", F.xxhash64(F.lit(side))).otherwise(F.xxhash64(clean_word(x))))
     none = F.array().cast("array<bigint>")

@@ -77,7 +77,7 @@ def discover_auto_pairs(files: DataFrame, root: str, source_names: list[str] = P
                         depth: int = 4) -> DataFrame:
     """Topmost folders that hold a source-named child and a target-named one (as a child, or one level below a sibling)."""
     f = files.where(F.col("path").startswith(root + "/") & F.lower("path").endswith(".pdf")).withColumn(
-        "_d", F.slice(F.split(F.expr(f"substring(path, {len(root) + 2})"), "/"), 1, 100))
+        "_d", F.split(F.expr(f"substring(path, {len(root) + 2})"), "/"))
     f = f.withColumn("_d", F.slice("_d", F.lit(1), F.size("_d") - 1))
     # Every ancestor of a file with the two folder names below it.
     up = f.select("path", F.explode(F.sequence(F.lit(0), F.least(F.size("_d") - 1, F.lit(depth)))).alias("i"), "_d").where("size(_d) > 0")

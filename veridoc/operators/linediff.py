@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from veridoc.functions.text import clean_word, is_masked, split_compound
+from veridoc.functions.text import clean_raw_word, is_masked, split_compound
 from veridoc.operators import kernels as K
 from veridoc.operators.words import dedupe_overprint_words, merge_kerning_and_numbers, sanitizer_tolerance, visual_lines
 
@@ -26,7 +26,7 @@ def diff_tokens(words: DataFrame) -> DataFrame:
     # A part starts in proportion to its place in the word.
     at = F.greatest(F.expr("instr(raw, part)") - 1, F.lit(0)) / F.greatest(F.length("raw"), F.lit(1))
     width = F.col("x1") - F.col("x0")
-    w = w.withColumn("text", clean_word(F.col("part"))).where("text <> ''").withColumn("_x0", F.col("x0") + width * at).withColumn(
+    w = w.withColumn("text", clean_raw_word(F.col("part"))).where("text <> ''").withColumn("_x0", F.col("x0") + width * at).withColumn(
         "x1", F.col("x0") + width * (at + F.length("part") / F.greatest(F.length("raw"), F.lit(1)))).withColumn("x0", F.col("_x0"))
     w = visual_lines(w.drop("raw", "part", "_x0"), SIDE, sanitizer_tolerance(), touching=False)
     w = merge_kerning_and_numbers(dedupe_overprint_words(w, SIDE), SIDE, ["pos", "sub", "font_size"])

@@ -45,8 +45,7 @@ def kth_with_kth(left: DataFrame, right: DataFrame, keys: list[str], left_order:
     return ranked.join(rank_in_group(right, keys, right_order, limit=limit), [*keys, "rn"], how)
 
 
-def greedy_one_to_one(edges: DataFrame, left: list[str], right: list[str], order: list[str],
-                      max_rounds: int = 10_000) -> DataFrame:
+def greedy_one_to_one(edges: DataFrame, left: list[str], right: list[str], order: list[str]) -> DataFrame:
     """Greedy matching: walk the edges by `order` (ascending), use each endpoint once.
 
     `order` plus the endpoints is a total order, so repeatedly taking every edge that is the best
@@ -56,7 +55,7 @@ def greedy_one_to_one(edges: DataFrame, left: list[str], right: list[str], order
     rank = F.struct(*dict.fromkeys([*order, *left, *right]))
     open_edges = cut(edges.withColumn("_rank", rank))
     taken = None
-    for _ in range(max_rounds):
+    while True:
         best_left = open_edges.groupBy(*left).agg(F.min("_rank").alias("_best")).select("_best")
         best_right = open_edges.groupBy(*right).agg(F.min("_rank").alias("_best")).select("_best")
         found = cut(best_left.join(best_right, "_best").select("_best.*"))

@@ -41,14 +41,14 @@ def h2(spark, sf_dir):
 
 @query("h3_clean_word", with_(f"SELECT tok, {CLEAN} AS clean FROM tokens", "tokens"))
 def h3(spark, sf_dir):
-    return token_table(spark, sf_dir).select("tok", X.clean_word(F.col("tok")).alias("clean"))
+    return token_table(spark, sf_dir).select("tok", X.clean_raw_word(F.col("tok")).alias("clean"))
 
 
 @query("h4_split_compound", with_(r"""SELECT tok, array_to_string(list_filter(list_transform(
-    regexp_split_to_array(regexp_replace(regexp_replace(tok, '([0-9]):([0-9])', '\1§\2', 'g'), '([0-9]):([0-9])', '\1§\2', 'g'),
-    '[:;()\[\]]'), lambda x: replace(x, '§', ':')), lambda x: x <> ''), '|') AS parts FROM tokens WHERE NOT contains(tok, '§')""", "tokens"))
+    regexp_split_to_array(regexp_replace(regexp_replace(tok, '([0-9]):([0-9])', '\1' || chr(1) || '\2', 'g'), '([0-9]):([0-9])', '\1' || chr(1) || '\2', 'g'),
+    '[:;()\[\]]'), lambda x: replace(x, chr(1), ':')), lambda x: x <> ''), '|') AS parts FROM tokens""", "tokens"))
 def h4(spark, sf_dir):
-    return token_table(spark, sf_dir).where("not contains(tok, '§')").select(
+    return token_table(spark, sf_dir).select(
         "tok", F.array_join(X.split_compound(F.col("tok")), "|").alias("parts"))
 
 
@@ -161,9 +161,9 @@ def h16(spark, sf_dir):
 @query("h17_safe_key", r"""SELECT page_id, CASE WHEN length(k) > 85 THEN substr(k, 1, 74) || '_' || upper(substr(sha256(url), 1, 8))
     WHEN trim(k) = '' THEN 'Doc' ELSE k END AS k FROM (SELECT page_id, url, replace(regexp_replace(trim(regexp_replace(url,
     '[<>:"/\\|?*\x00-\x1f\[\]•]', '_', 'g'), '_'), '__+', '_', 'g'), ' ', '_') AS k FROM (
-    SELECT page_id, url || ' ' || substr(html, 1, page_id % 90) AS url FROM pages))""")
+    SELECT page_id, url || ' ' || html AS url FROM pages))""")
 def h17(spark, sf_dir):
-    p = corpus.table(spark, sf_dir, "pages").select("page_id", F.expr("concat(url, ' ', substr(html, 1, page_id % 90))").alias("url"))
+    p = corpus.table(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", "url", "html").alias("url"))
     return p.select("page_id", P.safe_key(F.col("url")).alias("k"))
 
 
@@ -171,7 +171,7 @@ def h17(spark, sf_dir):
    array_to_string(list_transform(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> ''),
      lambda w: regexp_replace(w, '([\\*+?|{\[()^$.#])', '\\\1', 'g')), '\s+') ||
    CASE WHEN regexp_matches(t, '[\p{L}\p{Nd}]$') THEN '(?![\p{L}\p{N}])' ELSE '' END AS pattern
-  FROM (SELECT item_id, regexp_replace(substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 220), '^\s+|\s+$', '', 'g') AS t FROM benchmark)""")
+  FROM (SELECT item_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM benchmark)""")
 def h18(spark, sf_dir):
     b = corpus.table(spark, sf_dir, "benchmark")
     return b.select("item_id", X.flexible_pattern(F.col("text")).alias("pattern"))

@@ -116,12 +116,13 @@ def document_keys(product, raw_product, channel, family):
     return F.array_distinct(F.filter(keys, lambda k: k.isNotNull() & (k != "")))
 
 
-TEMPLATE_FAMILY = (r"(?i)(?<![A-Za-z0-9])(BALV[A-Z0-9]+(?:_[A-Za-z0-9]+){1,4}?)"
-                   r"(?=_(?:FR|NL|DE|EN)(?![A-Za-z0-9])|_+\d|$)")
+def family_pattern(prefix: str) -> str:
+    """Code of a document template in a file name: the organisation's prefix and up to four parts, before language or number."""
+    return rf"(?i)(?<![A-Za-z0-9])({prefix}[A-Z0-9]+(?:_[A-Za-z0-9]+){{1,4}}?)(?=_(?:FR|NL|DE|EN)(?![A-Za-z0-9])|_+\d|$)"
 
 
-def template_family(stem_col):
-    code = F.regexp_replace(F.regexp_extract(stem_col, TEMPLATE_FAMILY, 1), "^_+|_+$", "")
+def template_family(stem_col, prefix: str = "TPL"):
+    code = F.regexp_replace(F.regexp_extract(stem_col, family_pattern(prefix), 1), "^_+|_+$", "")
     return F.when(code != "", code)
 
 
