@@ -12,8 +12,8 @@ import re
 
 import numpy as np
 
-# Pieces kept by one Python worker (about 100 MB); the cache starts anew when it is full.
-CACHE_PIECES = 400_000
+# Pieces kept by one Python worker (about 60 MB), and a batch more; the cache starts anew when it is full.
+CACHE_PIECES = 300_000
 _JOINED = 512
 _BATCH_CHARS = 1 << 20
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -37,6 +37,7 @@ class Encoder:
             self._bytes[i] = len(token.encode()) if token in added else len(token)
         self._pieces: dict[str, bytes] = {}
         self._limit = cache_pieces
+        self._stops = dict(zip(",.", self._whole([",", "."])))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -62,32 +63,41 @@ class Encoder:
         return out
 
     def _encode_some(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        missing = set().union(*split) - self._pieces.keys()
-        bad = {k for k in missing if not k or k[-1].isspace()}
-        for i, parts in enumerate(split):
+        known, missing, work = self._pieces, set(), []
+        if len(known) > self._limit:
+            known.clear()
+        for text in texts:
+            parts = text.split(" ")
+            found = list(map(known.get, parts))
+            found[0] = b""
+            holes = [i for i, ids in enumerate(found) if ids is None]
+            new = {parts[i] for i in holes}
             # A piece that is empty or ends in white space shows a run of white space, which must stay together.
-            if parts[0][-1:].isspace() or bad and not bad.isdisjoint(parts[1:]):
-                first, *rest = _CUT.split(texts[i])
-                split[i] = [first, *(x[1:] for x in rest)]
-                missing.update(split[i][1:])
-        heads = self._whole([parts[0] for parts in split])
-        rare = [k for k in missing if not k or k[-1].isspace()]
-        ending = dict(zip(rare, self._whole([" " + k for k in rare])))
-        missing -= self._pieces.keys()
-        missing.difference_update(rare)
-        if len(self._pieces) + len(missing) > self._limit:
-            self._pieces.clear()
-            missing = set().union(*(p[1:] for p in split)).difference(rare)
-        self._pieces.update(self._learn(list(missing)))
-        known, out = self._pieces, []
-        for head, parts in zip(heads, split):
-            del parts[0]
-            if parts and parts[-1] in ending:
-                parts, last = parts[:-1], ending[parts[-1]]
-            else:
-                last = b""
-            out.append(head + b"".join([known[p] for p in parts]) + last)
+            if parts[0][-1:].isspace() or any(not k or k[-1].isspace() for k in new):
+                first, *rest = _CUT.split(text)
+                parts = [first, *(x[1:] for x in rest)]
+                found = [b"", *map(known.get, parts[1:])]
+                holes = [i for i, ids in enumerate(found) if ids is None]
+                new = {parts[i] for i in holes}
+            missing |= new
+            work.append((parts, found, holes))
+        heads = self._whole([parts[0] for parts, _, _ in work])
+        # White space at the end of a text belongs to its last piece, which is no key of the cache.
+        ending = [k for k in missing if not k or k[-1].isspace()]
+        learned = dict(zip(ending, self._whole([" " + k for k in ending])))
+        missing.difference_update(ending)
+        # A comma or full stop after a letter is a token of its own.
+        closed = [k for k in missing if k[-1] in self._stops and k[-2:-1].isalpha()]
+        fresh = self._learn(list({k[:-1] for k in closed}.difference(known).union(missing.difference(closed))))
+        for k in closed:
+            fresh[k] = (fresh.get(k[:-1]) or known[k[:-1]]) + self._stops[k[-1]]
+        known.update(fresh)
+        out = []
+        for head, (parts, found, holes) in zip(heads, work):
+            found[0] = head
+            for i in holes:
+                found[i] = fresh.get(parts[i]) or learned[parts[i]]
+            out.append(b"".join(found))
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
