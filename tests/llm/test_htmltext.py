@@ -22,6 +22,8 @@ CASES = {
                  f"<section class='commentList'><article><p>{LONG}</p></article></section>", f"One {LONG} Two {PLAIN_MORE}"),
     "unclosed": (f"<body><nav>{MENU}<article><p>{LONG}<p>{MORE}<ul><li>a<li>b</ul><p class=ad>Buy<br>now<p>end", f"{LONG} {PLAIN_MORE} a b end"),
     "header in article": (f"<header>Site {LONG}</header><article><header><h1>Title</h1></header><p>{LONG}</p><footer>Share {LONG}</footer></article>", f"Title {LONG}"),
+    "class names": (f"<div class='layout with-sidebar'><div class='AD'>{LONG}</div><div id='mainMenu'>{MENU}</div><div class='story'><p>{LONG}</p>"
+                    f"<div class='adBox'>{LONG}</div><p>{MORE}</p></div><div class='side col'><p>{LONG}</p></div></div>", f"{LONG} {PLAIN_MORE}"),
     "no tags": (" just  a\n text ", "just a text"),
     "empty": ("", ""),
     "null": (None, ""),

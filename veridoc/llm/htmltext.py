@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from veridoc.llm.common import slices
+
 #: Standard deviation of the smoothing, in lines, and the share of the smoothed mean above which a line is content.
 SIGMA = 1.0
 THRESHOLD = 0.5
@@ -35,12 +37,15 @@ SKIPPED = frozenset("""aside audio button canvas datalist dialog footer form hea
 style svg template textarea title video""".split())
 SKIPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
 # Words of class and id values that name boilerplate: whole words, and beginnings of words.
-SKIPPED_WORDS = frozenset("""ad ads adv adbox adslot adunit aside banner bottombar byline comments consent dialog disqus donate foot footer
-gdpr header hidden legal login masthead menu modal nav navi navbar overlay pager pagination paywall popup promo promos rail recirc related
-reply replies respond share sharing signup social sponsor teaser teasers toolbar topbar tracking widget widgets""".split())
+SKIPPED_WORDS = frozenset("""ad ads adv adbox adslot adunit alert alerts aside banner bottombar byline comments consent crumbs dialog disclaimer
+discussion disqus donate feedback foot footer gdpr header hidden legal login masthead menu modal nav navi navbar overlay pager pagination
+paywall popup promo promos rail recirc related reply replies respond search share sharing side sidenav signup skip social sponsor teaser
+teasers toolbar topbar tracking widget widgets""".split())
 SKIPPED_STARTS = ("advert", "breadcrumb", "comment", "cookie", "copyright", "newsletter", "navigation", "notice", "notification", "outbrain",
                   "popover", "promot", "recommend", "sidebar", "sponsored", "subscri", "taboola")
-_WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+# A class that says what an element has beside it, such as "with-sidebar", does not name the element.
+_BESIDE = frozenset("has have no with without".split())
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Za-z][a-z]*")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -54,8 +59,9 @@ def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside_article:
             return True
         if name == "role" and (value or "").lower() in SKIPPED_ROLES or name == "style" and _HIDDEN.search(value or ""):
             return True
-        if name in ("class", "id") and value:
-            for word in (w.lower() for w in _WORDS.findall(value)):
+        for each in (value or "").split() if name in ("class", "id") else ():
+            words = [w.lower() for w in _WORDS.findall(each)]
+            for word in words if not _BESIDE.intersection(words[:1]) else ():
                 if word in SKIPPED_WORDS and not (word == "header" and inside_article) or word.startswith(SKIPPED_STARTS):
                     return True
     return False
@@ -107,7 +113,7 @@ class _Lines(HTMLParser):
         if tag in ("article", "main"):
             e = self.at
             while e.parent:
-                if e.tag in ("nav", "header", "form", "head", "button", "select"):
+                if e.tag in ("nav", "header", "form", "head", "button", "select") or tag == "main" and e.skipped:
                     self.at = e.parent
                 e = e.parent
         ends = ("p",) if tag in ENDS_P else ()
@@ -220,7 +226,7 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text", n_chars: s
     source = pages.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{html}`").cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(x) for x in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64())], [*kept, text, n_chars])
