@@ -7,13 +7,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veridoc.session import input_bytes, plan_bytes
 
 __all__ = ["BROADCAST_LIMIT", "input_bytes", "small", "table", "shared_folder", "store", "stored", "place", "without_places",
-           "settings", "word_pattern", "lower_ascii"]
+           "settings", "slices", "word_pattern", "lower_ascii"]
 
 #: A side of a join is broadcast only if the planner's size for it, the size of its files once stored, is below this.
 BROADCAST_LIMIT = 4 << 20
@@ -48,6 +49,13 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in smaller parts, so that few texts at once become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def stored(docs: DataFrame) -> DataFrame:
     """`docs` itself if its rows have places in files, else a stored copy."""
     try:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from veridoc.llm.common import slices
 from veridoc.llm.tokens import default_tokenizer, encoder
 
 #: Window lengths; each is a power of two, the last is the long one.
@@ -187,12 +188,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, key: st
             columns = list(zip(*out)) or [[]] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                for doc, ids in zip(some.column(0).to_pylist(), tool.encode(some.column(1).to_pylist())):
-                    packer.add(doc, np.frombuffer(ids + end, dtype=tool.dtype))
-                yield rows()
+        for batch in slices(batches):
+            for doc, ids in zip(batch.column(0).to_pylist(), tool.encode(batch.column(1).to_pylist())):
+                packer.add(doc, np.frombuffer(ids + end, dtype=tool.dtype))
+            yield rows()
         packer.finish()
         yield rows()
 

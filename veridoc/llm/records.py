@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from veridoc.llm.common import input_bytes, shared_folder, small
+from veridoc.llm.common import input_bytes, shared_folder, slices, small
 from veridoc.llm.tokens import default_tokenizer, encoder
 
 #: Stored bytes of input of one shard; bounds the file that a reader holds.
@@ -102,7 +102,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key
         tool = encoder(tokenizer)
         width, end = tool.dtype.itemsize, np.array([end_id], dtype=tool.dtype).tobytes()
         out, size = [frame(payload(SHARD, TaskContext.get().partitionId(), b"", width))], 0
-        for batch in batches:
+        for batch in slices(batches):
             for k, ids in zip(batch.column(0).to_pylist(), tool.encode(batch.column(1).to_pylist())):
                 out.append(frame(payload(NULL_DOCUMENT if k is None else DOCUMENT, k or 0, ids + end, width)))
                 size += len(out[-1])

@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from veridoc.llm.common import place, small, store, stored, without_places
+from veridoc.llm.common import place, slices, small, store, stored, without_places
 from veridoc.llm.components import connected_components
 
 SEED = 42
@@ -57,7 +57,7 @@ def fingerprints(rows: DataFrame) -> DataFrame:
     source = rows.select(*kept, "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = np.array([fingerprint(t) for t in batch.column(len(kept)).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(values)], [*kept, "fp"])
 

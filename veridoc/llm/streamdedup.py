@@ -56,7 +56,7 @@ class StreamDedup:
                       spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
                       spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
                       spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
-                      spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="200"):
+                      spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="64"):
             (state.writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{self.folder}/state")
              .trigger(availableNow=True).start().awaitTermination())
 
