@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from veridoc.session import input_bytes, plan_bytes
 
 __all__ = ["BROADCAST_LIMIT", "input_bytes", "small", "table", "shared_folder", "store", "stored", "place", "without_places",
-           "settings", "slices", "word_pattern", "lower_ascii"]
+           "settings", "slices", "to_python", "word_pattern", "lower_ascii"]
 
 #: A side of a join is broadcast only if the planner's size for it, the size of its files once stored, is below this.
 BROADCAST_LIMIT = 4 << 20
@@ -49,6 +49,17 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one Arrow batch: whole texts are long, and a batch is held by the JVM and by Python at once.
+ARROW_ROWS = 1000
+
+
+def to_python(df: DataFrame) -> DataFrame:
+    """`df` itself, in a session whose Arrow batches suit whole texts."""
+    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Arrow batches in smaller parts, so that few texts at once become Python objects."""
     for batch in batches:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from veridoc.llm.common import slices
+from veridoc.llm.common import slices, to_python
 
 #: Standard deviation of the smoothing, in lines, and the share of the smoothed mean above which a line is content.
 SIGMA = 1.0
@@ -232,4 +232,4 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text", n_chars: s
                                               pa.array([len(t) for t in texts], pa.int64())], [*kept, text, n_chars])
 
     fields = source.schema.fields[:len(kept)]
-    return source.mapInArrow(run, T.StructType([*fields, T.StructField(text, T.StringType()), T.StructField(n_chars, T.LongType())]))
+    return to_python(source).mapInArrow(run, T.StructType([*fields, T.StructField(text, T.StringType()), T.StructField(n_chars, T.LongType())]))

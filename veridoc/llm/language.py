@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from veridoc.llm.common import slices
+from veridoc.llm.common import slices, to_python
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["cell", "n"])
 
     # The sample is bounded, so it goes to a fixed number of tasks and their sums to few rows.
-    counted = (usable.filter(share < rate).select("t", "l").repartition(FIT_TASKS)
+    counted = (to_python(usable).filter(share < rate).select("t", "l").repartition(FIT_TASKS)
                .mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas())
     total = np.zeros((len(rows), buckets))
     total.reshape(-1)[counted["cell"].to_numpy()] = counted["n"].to_numpy()
@@ -172,7 +172,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)],
                                              [*batch.schema.names, pred, score])
 
-    return source.mapInArrow(run, schema)
+    return to_python(source).mapInArrow(run, schema)
 
 
 def in_training_part(key: str = "doc_id") -> Column:

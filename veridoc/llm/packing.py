@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from veridoc.llm.common import slices
+from veridoc.llm.common import slices, to_python
 from veridoc.llm.tokens import default_tokenizer, encoder
 
 #: Window lengths; each is a power of two, the last is the long one.
@@ -196,4 +196,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, key: st
         yield rows()
 
     source = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
-    return source.mapInArrow(run, SCHEMA)
+    return to_python(source).mapInArrow(run, SCHEMA)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from veridoc.llm.common import input_bytes, shared_folder, slices, small
+from veridoc.llm.common import input_bytes, shared_folder, slices, small, to_python
 from veridoc.llm.tokens import default_tokenizer, encoder
 
 #: Stored bytes of input of one shard; bounds the file that a reader holds.
@@ -112,7 +112,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
     # The text writer puts out the bytes as they are, each row with a line feed.
-    (ranged.select("k", "t").mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    (to_python(ranged.select("k", "t")).mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
      .write.text(folder))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from veridoc.llm.common import place, slices, small, store, stored, without_places
+from veridoc.llm.common import place, slices, small, store, stored, to_python, without_places
 from veridoc.llm.components import connected_components
 
 SEED = 42
@@ -61,7 +61,7 @@ def fingerprints(rows: DataFrame) -> DataFrame:
             values = np.array([fingerprint(t) for t in batch.column(len(kept)).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(values)], [*kept, "fp"])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:len(kept)], T.StructField("fp", T.LongType())]))
+    return to_python(source).mapInArrow(run, T.StructType([*source.schema.fields[:len(kept)], T.StructField("fp", T.LongType())]))
 
 
 def _nearest(fp: Column, half: int) -> tuple[Column, Column]:

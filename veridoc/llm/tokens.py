@@ -12,8 +12,8 @@ import re
 
 import numpy as np
 
-# Pieces kept by one Python worker (about 60 MB), and a batch more; the cache starts anew when it is full.
-CACHE_PIECES = 300_000
+# Pieces kept by one Python worker (about 50 MB), and a batch more; the cache starts anew when it is full.
+CACHE_PIECES = 250_000
 _JOINED = 512
 _BATCH_CHARS = 1 << 20
 _CUT = re.compile(r"(?<=\S)(?= )")
