@@ -85,16 +85,17 @@ def link_quotes(messages: DataFrame, key: list[str], text: str = "text", scope:
     ids = parsed.select("id").distinct()
     heads = store(ids.join(answers, "id", "left").select("id", F.col("to.of").alias("parent"), F.coalesce("n_quotes", F.lit(0).cast("long")).alias("n_quotes"),
                                                          F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked")), "heads")
-    # Each round doubles the way up: `up` is an ancestor `steps` above, a message without one points to itself.
-    ways = store(heads.select("id", F.coalesce("parent", "id").alias("up"), F.col("parent").isNotNull().cast("long").alias("steps")), "ways")
-    while True:
-        upper = ways.filter("steps > 0").select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
-        further = ways.join(upper, "up", "left").select(
-            "id", F.coalesce("next", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved"))
-        further = store(further, "ways")
-        ways = further.drop("moved")
-        if further.filter("moved").isEmpty():
-            break
+    # Each round doubles the way up: `up` is an ancestor `steps` above. Messages that have reached their root, which points to
+    # itself, are set aside, so a few long threads keep only their own messages busy.
+    start = F.col("parent").isNull().alias("at_root")
+    ways = store(heads.select("id", F.coalesce("parent", "id").alias("up"), F.col("parent").isNotNull().cast("long").alias("steps"), start), "ways")
+    reached, moving = ways.filter("at_root"), ways.filter("not at_root")
+    while not moving.isEmpty():
+        upper = reached.union(moving).select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), "at_root")
+        further = store(moving.drop("at_root").join(upper, "up").select(
+            "id", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), "at_root"), "ways")
+        reached, moving = reached.union(further.filter("at_root")), further.filter("not at_root")
+    ways = reached.drop("at_root")
     threads = store(heads.join(ways, "id").select("id", "parent", "n_quotes", "n_linked", F.col("up").alias("thread"), F.col("steps").alias("depth")), "threads")
     placed = rank_in_group(threads, ["thread"], [F.col("depth"), F.col("id")], "place")
     own_text = F.array_join(F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: F.regexp_replace(F.array_join(r["lines"], "\n"), r"^\s+|\s+$", "")), "\n")
