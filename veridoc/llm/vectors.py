@@ -179,9 +179,10 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
                   "found")
     parts = connected_components(found.select(F.col("node").alias("a"), F.col("near").alias("b")))
     linked = found.groupBy("node").agg(F.sum("links").alias("links")).join(parts, "node", "left")
-    joined = classes.select("node", "weight", "least").join(linked, "node", "left").select(
-        "node", "weight", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
-    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    # Stored, so that the join on a component with very many members can be split.
+    joined = store(classes.select("node", "weight", "least").join(linked, "node", "left").select(
+        "node", "weight", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component")), "linked")
+    least = store(joined.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     settled = store(joined.join(least, "component").select("node", "component_id", (F.col("links") + F.col("weight") - 1).alias("n_links")), "settled")
     out = rows.select("vec_id", "node").join(settled, "node", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
