@@ -36,9 +36,9 @@ def test_paths(spark):
     stem = lambda p: one(spark, P.canonical_stem(F.col("p"), True), p=p)
     assert stem("/a/Contrat_source_v1_x-2026-11-10.pdf") == "Contrat _x"
     product = lambda s, t, e="": one(spark, P.resolve_product(F.col("e"), F.col("s"), F.col("t")), s=s, t=t, e=e)
-    assert product("/n/Bank/SP.EFP/Source/a.pdf", "/n/Bank/SP.EFP/2026_R11/Target/a.pdf") == "SP.EFP"
+    assert product("/n/Bank/PR.AB1/Source/a.pdf", "/n/Bank/PR.AB1/2026_R11/Target/a.pdf") == "PR.AB1"
     assert product("/n/Broker/Life/X1/a.pdf", "/m/other/Temp/a.pdf") == "X1"
-    assert product("/tmp/SP.017_a.pdf", "/tmp/b.pdf", "Docs") == "SP.017_a.pdf"[:6]
+    assert product("/tmp/PR.017_a.pdf", "/tmp/b.pdf", "Docs") == "PR.017_a.pdf"[:6]
     assert one(spark, P.resolve_channel(F.lit(""), F.col("s"), F.col("s"), F.lit("")), s="/x/Courtier/y/a.pdf") == "Broker"
 
 
