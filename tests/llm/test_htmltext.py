@@ -41,6 +41,26 @@ def test_main_text(name):
     assert want is None or got == want
 
 
+NAMED = {
+    "article in a named wrapper": (f"<body><nav>{MENU}</nav><div class='sticky-header'><article><p>{LONG}</p><p>{MORE}</p></article></div>"
+                                   f"<div class='comments'><p>First! {LONG}</p></div></body>", f"{LONG} {PLAIN_MORE}"),
+    "named layout": (f"<body><div class='layout footer-dark'><div id='search-results'><p>{LONG}</p><p>{MORE}</p><div class='ads'>Buy {LONG}</div></div></div></body>",
+                     f"{LONG} {PLAIN_MORE}"),
+    "ad-free": (f"<div class='ad-free'><p>{LONG}</p></div>", LONG),
+    "only named parts": (f"<div class='promo'><p>{LONG}</p></div><div class='share'><p>{LONG}</p></div>", f"{LONG} {LONG}"),
+    "math and byline": (f"<article><p class='byline'>By A. Writer</p><p>{LONG} <math><mi>x</mi></math> is it.</p></article>", f"By A. Writer {LONG} x is it."),
+    "comments beside the article": (f"<article><p>{LONG}</p><p>{MORE}</p></article><div class='comments'><article><p>First! {LONG}</p></article></div>",
+                                    f"{LONG} {PLAIN_MORE}"),
+    "named inside a line": (f"<p>{LONG} a<span class='ad'>Buy</span>b</p>", f"{LONG} ab"),
+}
+
+
+@pytest.mark.parametrize("name", NAMED)
+def test_names_alone_do_not_drop_the_text(name):
+    html, want = NAMED[name]
+    assert H.main_text(html) == want
+
+
 def test_long_page():
     body = "".join(f"<p>{LONG} {i}</p><p>x</p>" for i in range(4000))
     assert H.main_text(f"<nav>{MENU}</nav><article>{body}</article>") == " ".join(f"{LONG} {i} x" for i in range(4000))

@@ -1,7 +1,8 @@
 """Main text of web pages: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 A page is read once as a stream of parser events. Block tags cut it into lines; a line has its text, the tags since the
-line before and the element it stands in. Elements that are boilerplate by their kind, role, class or id are skipped. The
+line before and the element it stands in. Elements that are boilerplate by their kind or role are skipped; those whose class
+or id names boilerplate are dropped after the parse, unless they turn out to hold the page's article or most of its text. The
 ratios of the lines are smoothed, and lines above a threshold are content; the region that holds them is the article, or
 else the smallest element around them, and gives its other lines too.
 """
@@ -26,6 +27,8 @@ THRESHOLD = 0.5
 ARTICLE_SHARE = 0.4
 #: A line that is a link to this share is no text of the article unless it stands between its lines.
 LINK_SHARE = 0.6
+#: An element with more than this share of the page's text outside links is no boilerplate, whatever its name.
+NAMED_SHARE = 0.5
 
 # Names of HTML: fixed values.
 BLOCKS = frozenset("""address article aside blockquote body br button canvas caption center col colgroup dd details dialog dir div dl dt
@@ -33,11 +36,11 @@ fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hg
 ol option optgroup output p pre search section select summary table tbody td template textarea tfoot th thead title tr ul video""".split())
 ENDS_P = BLOCKS - frozenset("br button canvas iframe map noscript option output select template textarea video".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("""aside audio button canvas datalist dialog footer form head iframe math menu nav noscript object script search select
+SKIPPED = frozenset("""aside audio button canvas datalist dialog footer form head iframe menu nav noscript object script search select
 style svg template textarea title video""".split())
 SKIPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
 # Words of class and id values that name boilerplate: whole words, and beginnings of words.
-SKIPPED_WORDS = frozenset("""ad ads adv adbox adslot adunit alert alerts aside banner bottombar byline comments consent crumbs dialog disclaimer
+SKIPPED_WORDS = frozenset("""ad ads adv adbox adslot adunit alert alerts aside banner bottombar comments consent crumbs dialog disclaimer
 discussion disqus donate feedback foot footer gdpr header hidden legal login masthead menu modal nav navi navbar overlay pager pagination
 paywall popup promo promos rail recirc related reply replies respond search share sharing side sidenav signup skip social sponsor teaser
 teasers toolbar topbar tracking widget widgets""".split())
@@ -59,6 +62,14 @@ def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside_article:
             return True
         if name == "role" and (value or "").lower() in SKIPPED_ROLES or name == "style" and _HIDDEN.search(value or ""):
             return True
+    return False
+
+
+def _named(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
+    """A word of the class or id names boilerplate."""
+    if tag in ("html", "body", "main"):
+        return False
+    for name, value in attrs:
         for each in (value or "").split() if name in ("class", "id") else ():
             words = [w.lower() for w in _WORDS.findall(each)]
             for word in words if not _BESIDE.intersection(words[:1]) else ():
@@ -68,30 +79,28 @@ def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside_article:
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "depth", "skipped", "article")
+    __slots__ = ("tag", "parent", "depth", "skipped", "named", "article")
 
-    def __init__(self, tag: str, parent: _Element | None, skipped: bool):
-        self.tag, self.parent, self.skipped = tag, parent, skipped
+    def __init__(self, tag: str, parent: _Element | None, skipped: bool, named: bool = False):
+        self.tag, self.parent, self.skipped, self.named = tag, parent, skipped, named
         self.depth = parent.depth + 1 if parent else 0
         self.article = tag in ("article", "main") or bool(parent and parent.article)
 
 
 class _Lines(HTMLParser):
-    """Collects lines as (text, tags, link characters, element)."""
+    """Collects lines as (parts, tags, element); a part is (text, element, whether it is in a link)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.at = _Element("", None, False)
-        self.parts: list[str] = []
-        self.tags = self.linked = self.links = 0
-        self.lines: list[tuple[str, int, int, _Element]] = []
+        self.parts: list[tuple[str, _Element, bool]] = []
+        self.tags = self.links = 0
+        self.lines: list[tuple[list[tuple[str, _Element, bool]], int, _Element]] = []
 
     def _cut(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            self.lines.append((text, self.tags, self.linked, self.at))
-            self.tags = 0
-        self.parts, self.linked = [], 0
+        if self.parts:
+            self.lines.append((self.parts, self.tags, self.at))
+            self.parts, self.tags = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -104,9 +113,10 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         boilerplate = not self.at.skipped and _boilerplate(tag, attrs, self.at.article)
-        if inline and not boilerplate and tag not in SKIPPED:
+        named = not self.at.skipped and not boilerplate and _named(tag, attrs, self.at.article)
+        if inline and not boilerplate and not named and tag not in SKIPPED:
             return
-        self.at = _Element(tag, self.at, self.at.skipped or boilerplate)
+        self.at = _Element(tag, self.at, self.at.skipped or boilerplate, named)
 
     def _imply(self, tag: str) -> None:
         """Ends that HTML leaves out, and those of boilerplate that can't hold an article but was left open before one."""
@@ -139,9 +149,50 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.at.skipped:
-            self.parts.append(data)
-            if self.links:
-                self.linked += len(data)
+            self.parts.append((data, self.at, self.links > 0))
+
+
+def _dropped(lines: list[tuple[list[tuple[str, _Element, bool]], int, _Element]]) -> set[_Element]:
+    """Elements that go by their name: none that holds a large share of the text, or the only articles of the page."""
+    total, sizes, holders, outside = 0, {}, set(), False
+    for parts, _, _ in lines:
+        for data, e, link in parts:
+            size = sum(map(len, data.split()))
+            if not size:
+                continue
+            total += 0 if link else size
+            article = named = False
+            while e is not None:
+                if e.named:
+                    named = True
+                    sizes[e] = sizes.get(e, 0) + (0 if link else size)
+                    if article:
+                        holders.add(e)
+                article = article or e.tag in ("article", "main")
+                e = e.parent
+            outside = outside or article and not named
+    return {e for e, size in sizes.items() if size <= NAMED_SHARE * total and (outside or e not in holders)}
+
+
+def _kept(e: _Element | None, dropped: set[_Element]) -> bool:
+    while e is not None:
+        if e in dropped:
+            return False
+        e = e.parent
+    return True
+
+
+def _texts(lines: list[tuple[list[tuple[str, _Element, bool]], int, _Element]], dropped: set[_Element]) -> list[tuple[str, int, int, _Element]]:
+    """(text, tags, link characters, element) of the lines with text; tags of lines without any count for the next one."""
+    out, before = [], 0
+    for parts, tags, at in lines:
+        before += tags
+        kept = [x for x in parts if not dropped or _kept(x[1], dropped)]
+        text = " ".join("".join(data for data, _, _ in kept).split())
+        if text:
+            out.append((text, before, sum(len(data) for data, _, link in kept if link), at))
+            before = 0
+    return out
 
 
 def lines_of(html: str) -> list[tuple[str, int, int, _Element]]:
@@ -149,7 +200,7 @@ def lines_of(html: str) -> list[tuple[str, int, int, _Element]]:
     parser.feed(html)
     parser.close()
     parser._cut()
-    return parser.lines
+    return _texts(parser.lines, _dropped(parser.lines)) or _texts(parser.lines, set())
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
