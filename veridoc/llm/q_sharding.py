@@ -29,7 +29,7 @@ drawn AS (
 best AS (
   SELECT name, arg_max(s, (draw, -s)) FILTER (WHERE s < 40) AS shard, arg_max(s, (draw, -s)) AS grown_shard FROM drawn GROUP BY name)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
-       row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(name), 1, 2))::INTEGER * 256 + (text_crc32 >> 24), md5(name),
+       row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(name), 1, 2))::INTEGER * 16 + (text_crc32 >> 28), md5(name),
                           text_crc32, size, doc_id NULLS FIRST) - 1 AS slot,
        grown_shard::INTEGER AS grown_shard
 FROM records JOIN best USING (name)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from veridoc.llm.common import place, store, stored
+from veridoc.llm.common import place, small, store, stored
 
 #: Bytes that a record takes beside its text.
 FRAME_BYTES = 16
@@ -59,9 +59,9 @@ def assign(docs: DataFrame, weights: dict[int, float], more: dict[int, float] |
 
 
 def slot_order(key: Column, crc: Column, size: Column) -> list[Column]:
-    """Order of the records of a shard; the first column is the bucket. A key in very many records has 256 buckets."""
+    """Order of the records of a shard; the first column is the bucket, one of 4096. A key in very many records has 16 of them."""
     digest = F.md5(key_text(key).cast("binary"))
-    bucket = F.conv(F.substring(digest, 1, 2), 16, 10).cast("int") * 256 + F.shiftright(crc, 24).cast("int")
+    bucket = F.conv(F.substring(digest, 1, 2), 16, 10).cast("int") * 16 + F.shiftright(crc, 28).cast("int")
     return [bucket, digest, crc, size, key.asc_nulls_first()]
 
 
@@ -77,7 +77,7 @@ def slots(rows: DataFrame) -> DataFrame:
     ahead = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = store(counts.select("shard", "bucket", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("start")), "shard-starts")
     inside = W.partitionBy("shard", "bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    placed = groups.join(starts.hint("merge"), ["shard", "bucket"]).withColumn(
+    placed = groups.join(small(starts), ["shard", "bucket"]).withColumn(
         "start", F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
     one = placed.filter("n = 1").select(*names, F.col("start").alias("slot"))
     part = F.expr(f"explode(sequence(0L, n - 1, {COPIES_PER_ROW}L))")
