@@ -6,8 +6,8 @@ in many, and a subtree without any count is no node at all. Two groups are compa
 roots; equal pairs of nodes are put together at every level with their number, so each is priced once. Terms that neither
 group holds all cost the same and are priced together, by their number.
 
-Term ids are any numbering without gaps. Terms with equal counts in all groups get neighbouring ids, which makes equal
-subtrees frequent.
+Term ids are any numbering without gaps. Terms that the same sources use equally often get neighbouring ids, which makes
+equal and missing subtrees frequent.
 """
 
 from __future__ import annotations
@@ -27,11 +27,9 @@ LEAST_DOCS, TERM_RANKS, SCALE = 3, 200, 1_000_000_000
 #: Children of a node, and counts of a leaf.
 WIDTH = 16
 #: Distinct terms that a counting task holds before it puts them out.
-HELD_TERMS = 200_000
+HELD_TERMS = 500_000
 #: From this count on, its product with SCALE leaves 64 bits.
 WIDE = 9_000_000_000
-#: Buckets of a language inside which term ids are numbered.
-BUCKETS = 1 << 12
 
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 
@@ -73,22 +71,24 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
 def kept_terms(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(lang, term, total, id): terms in enough documents of the language, numbered 0.. in it.
 
-    Ids are numbered inside buckets of the terms' count vectors and shifted by the sizes of the buckets before, so a large
-    language is many tasks.
+    `counts` have the number `g` of the source in its language. Terms are ordered by range partitions, frequent ones first,
+    then by the sources that use them and by their counts, and numbered by position, so a large language is many tasks. What
+    a group does not use then lies together and is no node of its tree.
     """
-    vector = F.sum(F.shiftright(F.xxhash64("source", "n"), 8))
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"), vector.alias("vector")).filter(
-        F.col("docs") >= least_docs)
-    # Frequent terms first: what lies behind the last term of a small group is no node.
-    level = F.lit(63) - F.floor(F.log2(F.col("total").cast("double"))).cast("int")
-    kept = store(kept.select("lang", "term", "total", "vector",
-                             (level * BUCKETS + F.pmod(F.xxhash64("vector"), F.lit(BUCKETS))).alias("bucket")), "divergence-terms")
-    ahead = W.partitionBy("lang").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = kept.groupBy("lang", "bucket").agg(F.count("*").alias("held")).select(
-        "lang", "bucket", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("start"))
-    at = F.row_number().over(W.partitionBy("lang", "bucket").orderBy("vector", "term"))
-    return kept.join(small(store(starts, "divergence-starts")), ["lang", "bucket"]).select(
-        "lang", "term", "total", (F.col("start") + at - 1).alias("id"))
+    uses = F.bit_or(F.expr("shiftleft(1L, 62 - cast((g - 1) % 63 as int))"))
+    vector = F.sum(F.shiftright(F.xxhash64("g", "n"), 8))
+    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"), uses.alias("uses"),
+                                              vector.alias("vector")).filter(F.col("docs") >= least_docs)
+    level = F.floor(F.log2(F.col("total").cast("double"))).cast("int")
+    kept = store(kept.select("lang", "term", "total", level.alias("level"), "uses", "vector"), "divergence-terms")
+    by = [F.col("lang"), F.col("level").desc(), F.col("uses").desc(), F.col("vector"), F.col("term")]
+    ranges = store(kept.repartitionByRange(*by).sortWithinPartitions(*by).select(
+        "lang", "term", "total", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("at")), "divergence-ranges")
+    ahead = W.partitionBy("lang").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.groupBy("lang", "range").agg(F.count("*").alias("held"), F.min("at").alias("first")).select(
+        "lang", "range", (F.coalesce(F.sum("held").over(ahead), F.lit(0)) - F.col("first")).alias("shift"))
+    return ranges.join(small(store(starts, "divergence-starts")), ["lang", "range"]).select(
+        "lang", "term", "total", (F.col("at") + F.col("shift")).alias("id"))
 
 
 def _children(rows: DataFrame, value: str) -> list[Column]:
@@ -206,11 +206,10 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     named = W.partitionBy("lang").orderBy("source")
     seen = docs.select(part(lang).alias("lang"), part(source).alias("source")).distinct()
     seen = store(seen.withColumn("g", F.row_number().over(named)), "divergence-seen")
-    counts = store(term_counts(docs, text, lang, source), "divergence-counts")
+    counts = store(term_counts(docs, text, lang, source).join(small(seen), ["lang", "source"]).drop("source"), "divergence-counts")
     terms = store(kept_terms(counts, least_docs), "divergence-ids")
     sizes = store(terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_total")), "divergence-sizes")
-    held = counts.join(terms, ["lang", "term"]).join(small(seen), ["lang", "source"])
-    held = store(held.select("lang", "source", "g", "term", "id", "n", "total"), "divergence-held")
+    held = store(counts.join(terms, ["lang", "term"]).select("lang", "g", "term", "id", "n", "total"), "divergence-held")
     totals = held.groupBy("lang", "g").agg(F.sum("n").alias("total"))
     groups = seen.join(small(totals), ["lang", "g"], "left").join(small(sizes), "lang", "left").na.fill(0, ["total", "v", "lang_total"])
     groups = store(groups, "divergence-totals")
@@ -222,7 +221,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     pairs = both.join(name("g", "source"), ["lang", "g"]).join(name("o", "item"), ["lang", "o"])
     order = [F.col("value").desc(), F.col("item")]
     pairs = pairs.withColumn("rank", F.row_number().over(W.partitionBy("lang", "source").orderBy(*order)))
-    use = held.join(small(groups.select("lang", "g", F.col("total").alias("g_total"), "v", "lang_total")), ["lang", "g"])
+    use = held.join(small(groups.select("lang", "source", "g", F.col("total").alias("g_total"), "v", "lang_total")), ["lang", "g"])
     use = use.withColumn("p", exact_share(F.col("n"), F.col("g_total") + F.col("v"))).withColumn(
         "q", exact_share(F.col("total"), F.col("lang_total") + F.col("v"))).filter("p > q")
     use = use.select("lang", "source", F.col("term").cast("string").alias("item"), F.expr("(p - q) * (p - q) div q").alias("value"))
