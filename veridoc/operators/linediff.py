@@ -9,9 +9,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from veridoc.functions.text import clean_raw_word, is_masked, split_compound
 from veridoc.operators import kernels as K
+from veridoc.operators.ranking import rank_in_group
 from veridoc.operators.words import dedupe_overprint_words, merge_kerning_and_numbers, sanitizer_tolerance, visual_lines
+from veridoc.session import cut
 
 SIDE = ["pair_id", "side"]
+# Lines, or anchors, that one task numbers together.
+LINE_BLOCK = 4096
 
 
 def diff_tokens(words: DataFrame) -> DataFrame:
@@ -56,22 +60,93 @@ def common_line_counts(lines: DataFrame) -> DataFrame:
         F.sum(F.least("s", "t")).alias("common"))
 
 
-def line_diff(lines: DataFrame) -> DataFrame:
+def line_diff(lines: DataFrame, cells: int = K.TABLE_CELLS) -> DataFrame:
     """Changed rows of the side-by-side diff: (pair_id, row, s_line, t_line, kind).
 
-    Lines travel to the kernel as one array of 64-bit hashes per side; pairs with equal arrays do not travel.
+    A pair whose table of lines against lines has at most `cells` fields travels to the kernel as one array of 64-bit hashes
+    per side, unless both are equal. Longer pairs are cut at anchors first and become many rows, see `anchored_rows`.
     """
-    arr = lines.groupBy("pair_id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(
-        F.col("side") == s, F.struct("line_idx", F.xxhash64("line_text").alias("h"))))), lambda x: x["h"]).alias(s.lower())
-        for s in ("S", "T")])
-    flat = arr.where("s <> t").select("pair_id", K.changed_rows("s", "t").alias("r"))
-    rows = flat.select("pair_id", F.explode(F.expr("sequence(0, size(r) div 3 - 1)")).alias("k"), "r").where("size(r) > 0")
+    h = cut(lines.select(*SIDE, "line_idx", F.xxhash64("line_text").alias("h")))
+    n = lambda s: F.count_if(F.col("side") == s)
+    long = h.groupBy("pair_id").agg((n("S") * n("T")).alias("table")).where(F.col("table") > cells).select("pair_id")
+    flat = _line_arrays(h.join(long, "pair_id", "left_anti"), ["pair_id"]).where("s <> t").select(
+        "pair_id", F.lit(0).alias("base"), F.lit(0).alias("s0"), F.lit(0).alias("t0"), K.changed_rows("s", "t").alias("r"))
+    if not long.isEmpty():
+        flat = flat.unionByName(anchored_rows(h.join(long, "pair_id", "left_semi")))
+    rows = flat.where("size(r) > 0").select("pair_id", "base", "s0", "t0", F.explode(F.expr("sequence(0, size(r) div 3 - 1)")).alias("k"), "r")
     pick = lambda j: F.element_at("r", (F.col("k") * 3 + j + 1).cast("int"))
-    none = lambda c: F.when(c >= 0, c)
-    return rows.select("pair_id", pick(0).alias("row"), none(pick(1)).alias("s_line"), none(pick(2)).alias("t_line")).withColumn(
+    line = lambda c, first: F.when(c >= 0, c + F.col(first)).cast("int")
+    return rows.select("pair_id", (pick(0) + F.col("base")).cast("int").alias("row"), line(pick(1), "s0").alias("s_line"),
+                       line(pick(2), "t0").alias("t_line")).withColumn(
         "kind", F.when(F.col("t_line").isNull(), "deleted").when(F.col("s_line").isNull(), "inserted").otherwise("modified"))
 
 
+def _line_arrays(h: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """Hashes of both sides in line order, one row per key; a side without lines has an empty array."""
+    return h.groupBy(*keys).agg(*[F.transform(F.array_sort(F.collect_list(F.when(
+        F.col("side") == s, F.struct("line_idx", "h")))), lambda x: x["h"]).alias(s.lower()) for s in ("S", "T")], *more)
+
+
+def anchors(h: DataFrame, limit: int | None = None) -> DataFrame:
+    """(pair_id, s_line, t_line): lines that occur once on either side, as many as lie in the same order on both.
+
+    Anchors that follow each other on both sides form a run, found by equi-joins on their ranks; the longest increasing chain
+    of anchors is then the heaviest chain of runs, so only the runs of a pair meet in one task, one for each moved passage.
+    """
+    one = lambda s: F.min(F.when(F.col("side") == s, F.col("line_idx"))).alias(f"{s.lower()}_line")
+    count = lambda s: F.count_if(F.col("side") == s)
+    once = h.groupBy("pair_id", "h").agg(one("S"), one("T"), count("S").alias("ns"), count("T").alias("nt")).where("ns = 1 and nt = 1")
+    once = cut(once.select("pair_id", "s_line", "t_line"))
+    ranked = rank_in_group(once, ["pair_id"], [F.col("s_line")], "sr", limit)
+    ranked = cut(rank_in_group(ranked, ["pair_id"], [F.col("t_line")], "tr", limit)).withColumn("shift", F.col("tr") - F.col("sr"))
+    beside = lambda step, name: ranked.select("pair_id", (F.col("sr") + step).alias("sr"), F.col("shift").alias(name))
+    edges = ranked.join(beside(1, "before"), ["pair_id", "sr"], "left").join(beside(-1, "after"), ["pair_id", "sr"], "left")
+    first, last = ~F.col("before").eqNullSafe(F.col("shift")), ~F.col("after").eqNullSafe(F.col("shift"))
+    edges = cut(edges.select("pair_id", "sr", "tr", first.alias("first"), last.alias("last")).where("first or last"))
+    # Runs are intervals of the source order: the k-th start belongs to the k-th end.
+    k = F.row_number().over(W.partitionBy("pair_id").orderBy("sr"))
+    runs = edges.where("first").select("pair_id", "sr", "tr", k.alias("k")).join(
+        edges.where("last").select("pair_id", F.col("sr").alias("end"), k.alias("k")), ["pair_id", "k"])
+    runs = runs.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("sr", "end", "tr"))).alias("runs"))
+    kept = runs.select("pair_id", "runs", F.explode(K.chained_runs(
+        F.transform("runs", lambda r: r["tr"]), F.transform("runs", lambda r: r["end"] - r["sr"] + 1))).alias("i"))
+    kept = kept.select("pair_id", F.element_at("runs", F.col("i") + 1).alias("run"))
+    # A run covers blocks of ranks, and an anchor looks at the runs of its block only.
+    block = lambda c: F.floor(F.col(c) / LINE_BLOCK)
+    kept = kept.select("pair_id", F.col("run.sr").alias("a"), F.col("run.end").alias("z")).select(
+        "pair_id", "a", "z", F.explode(F.sequence(block("a"), block("z"))).alias("block"))
+    return ranked.withColumn("block", block("sr")).join(kept, ["pair_id", "block"]).where("sr between a and z").select(
+        "pair_id", "s_line", "t_line")
+
+
+def anchored_rows(h: DataFrame, limit: int | None = None) -> DataFrame:
+    """Diff of long pairs in pieces: (pair_id, base, s0, t0, r) as the kernel gives them, one row for each stretch between anchors.
+
+    Anchors are equal lines; the lines between two of them are aligned for themselves. `base` is the row of the side-by-side
+    layout where the stretch starts, s0 and t0 its first lines. All steps are keyed by pair and block of lines.
+    """
+    found = cut(anchors(h, limit))
+    marks = found.select("pair_id", F.lit("S").alias("side"), F.col("s_line").alias("line_idx")).union(
+        found.select("pair_id", F.lit("T"), "t_line")).withColumn("anchor", F.lit(1))
+    marked = h.join(marks, [*SIDE, "line_idx"], "left").withColumn("block", F.floor(F.col("line_idx") / LINE_BLOCK))
+    marked = cut(marked.withColumn("anchor", F.coalesce("anchor", F.lit(0))))
+    ahead = W.partitionBy(*SIDE).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    starts = marked.groupBy(*SIDE, "block").agg(F.sum("anchor").alias("held")).select(
+        *SIDE, "block", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("start"))
+    here = F.sum("anchor").over(W.partitionBy(*SIDE, "block").orderBy("line_idx").rowsBetween(W.unboundedPreceding, 0))
+    between = marked.withColumn("here", here).join(starts, [*SIDE, "block"]).where("anchor = 0").withColumn(
+        "part", F.col("start") + F.col("here"))
+    low = lambda s: F.coalesce(F.min(F.when(F.col("side") == s, F.col("line_idx"))), F.lit(0)).alias(f"{s.lower()}0")
+    parts = _line_arrays(between, ["pair_id", "part"], low("S"), low("T"))
+    parts = cut(parts.select("pair_id", "part", "s0", "t0", F.size("s").alias("n"), K.changed_rows("s", "t").alias("r")))
+    # Rows of a stretch: changed ones and the source lines that are not among them.
+    rows = F.size("r") / 3 + F.col("n") - F.size(F.filter("r", lambda x, i: (i % 3 == 1) & (x >= 0)))
+    over = W.partitionBy("pair_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    base = F.col("part") + F.coalesce(F.sum("rows").over(over), F.lit(0))
+    placed = parts.select("pair_id", "part", rows.cast("long").alias("rows")).withColumn("base", base.cast("int")).drop("rows")
+    return parts.join(placed, ["pair_id", "part"]).select("pair_id", "base", F.col("s0").cast("int").alias("s0"), F.col("t0").cast("int").alias("t0"), "r")
+
+
 def changed_tokens_of_lines(tokens: DataFrame, rows: DataFrame) -> DataFrame:
     """Tokens of changed lines with the diff row they stand on and the kind of the row."""
     where = rows.select("pair_id", F.lit("S").alias("side"), F.col("s_line").alias("line_idx"), "row", "kind").where("line_idx is not null").union(

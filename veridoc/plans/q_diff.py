@@ -76,6 +76,42 @@ def g1(spark, sf_dir):
     return L.line_diff(L.token_lines(tokens(spark, sf_dir)))
 
 
+# One step of the longest common subsequence a line of the source; only pairs that differ are walked, on lines both sides hold.
+LCS_SQL = with_("""SELECT doc_id AS pair_id, s_lines::BIGINT AS s_lines, t_lines::BIGINT AS t_lines, coalesce(kept, 0)::BIGINT AS kept FROM sizes LEFT JOIN (
+    SELECT doc_id, least(head, len(a)) + CASE WHEN len(a) = len(b) AND head >= len(a) THEN 0 ELSE list_max(r) END AS kept FROM walk WHERE i = len(a)) USING (doc_id)""",
+    "plines").replace("\nSELECT doc_id AS pair_id", """,
+  sizes AS (SELECT doc_id, count_if(side = 'S') AS s_lines, count_if(side = 'T') AS t_lines FROM plines GROUP BY ALL),
+  held AS (SELECT doc_id, line_text FROM plines GROUP BY ALL HAVING count(DISTINCT side) = 2),
+  arr AS (SELECT doc_id, list(line_text ORDER BY line_idx) FILTER (WHERE side = 'S') AS a, list(line_text ORDER BY line_idx) FILTER (WHERE side = 'T') AS b
+          FROM plines JOIN held USING (doc_id, line_text) GROUP BY ALL),
+  cut AS (SELECT *, coalesce(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda j: a[j] = b[j]), false) - 1, least(len(a), len(b))) AS head FROM arr),
+  walk AS (SELECT doc_id, a, b, head, CASE WHEN len(a) = len(b) AND head >= len(a) THEN len(a) ELSE head END AS i,
+             list_transform(range(0, len(b) - head + 1), lambda j: 0) AS r FROM cut
+    UNION ALL SELECT doc_id, a, b, head, i + 1, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])) FROM (
+      SELECT *, list_prepend(0, list_transform(range(1, len(r)), lambda j: CASE WHEN b[head + j] = a[i + 1] THEN r[j] + 1 ELSE r[j + 1] END)) AS c
+      FROM walk WHERE i < len(a)))
+SELECT doc_id AS pair_id""", 1).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def alignment_length(spark, sf_dir, cells):
+    """Lines of both sides and how many of them the diff leaves unchanged."""
+    lines = cut(L.token_lines(tokens(spark, sf_dir)))
+    sizes = lines.groupBy("pair_id").agg(*[F.count_if(F.col("side") == s).alias(f"{s.lower()}_lines") for s in ("S", "T")])
+    changed = L.line_diff(lines, cells).groupBy("pair_id").agg(F.count("s_line").alias("gone"))
+    return sizes.join(changed, "pair_id", "left").select("pair_id", "s_lines", "t_lines", (F.col("s_lines") - F.coalesce("gone", F.lit(0))).alias("kept"))
+
+
+@query("g1_alignment_length", LCS_SQL)
+def g1_length(spark, sf_dir):
+    return alignment_length(spark, sf_dir, L.K.TABLE_CELLS)
+
+
+@query("g1_anchored_alignment_length", LCS_SQL)
+def g1_anchored_length(spark, sf_dir):
+    """Every pair the way long pairs go."""
+    return alignment_length(spark, sf_dir, 0)
+
+
 @query("g2_text_hashes", with_("""SELECT doc_id AS pair_id, side, sha256(string_agg(line_text, chr(10) ORDER BY line_idx)) AS digest FROM plines GROUP BY ALL""", "plines"))
 def g2_hash(spark, sf_dir):
     return L.text_hashes(L.token_lines(tokens(spark, sf_dir)))
