@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -34,8 +35,11 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Planner's size estimate; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Planner's size estimate; no job runs. Estimates multiply along joins and may have more digits than Python converts."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except ValueError:
+        return 1 << 62
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -56,14 +60,28 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(tasks, *keys)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
-    sc = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> None:
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if sc.master != "local" and not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="veridoc-ckpt-")
         sc.setCheckpointDir(folder)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a written table in the shared folder. Unlike a checkpoint it has the size of its files as estimate,
+    not that of its plan, which loops would multiply."""
+    spark = df.sparkSession
+    _shared_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
