@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from veridoc.functions.text import date_token, issuance_dates
-from veridoc.sources.rules import DATE_MASK, java_pattern
+from veridoc.sources.rules import DATE_MASK, EVERYWHERE, java_pattern
 
 
 def token_occurrences(texts: DataFrame, keys: list[str], rules: list) -> DataFrame:
@@ -61,67 +62,96 @@ def mask_text(texts: DataFrame, rules: list, auto_dates: str | None = None) -> D
     return out.drop("_dates")
 
 
-def mask_words_by(words: DataFrame, keys: list[str], pattern: str, mask: str, least: int,
-                  auto_dates: DataFrame | None = None) -> DataFrame:
-    """One rule on positioned words: a match over several words becomes one masked word.
+# Characters that stand for something in the text of a document while a rule is applied (fixed values): a match opens and
+# closes, a blank and a new line inside a match.
+OPEN, CLOSE, BLANK, LINE = "\u0001", "\u0002", "\u0003", "\u0004"
 
-    Text around the match is kept only when it holds a letter or digit; a word that ends empty vanishes.
-    Where matches share a word the first one counts.
 
-    Each document is put together once; matches are marked in its text, the text is cut at the word
-    borders again, and words that one match runs through are joined. There is no join of offsets with
-    words, and the plan stays a single chain however many rules follow each other.
+def _document_text(words: str) -> Column:
+    """Words of an array joined by blanks, or by new lines where the page or the height changes.
+
+    Blanks inside a word become no-break spaces, so that plain blanks and new lines are word borders.
     """
-    cols = [c for c in words.columns if c not in keys]
-    docs = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in cols if c != "pos"]))).alias("_w"))
-    if auto_dates is not None:
-        docs = docs.join(auto_dates.groupBy(*keys).agg(F.collect_set("norm").alias("_dates")), keys, "left")
-    # Blanks inside a word become no-break spaces, so that plain blanks and new lines are word borders.
     inner = lambda w: F.translate(w["text"], " \n", "\u00a0\u00a0")
     broke = lambda w, p: (w["page"] != p["page"]) | (F.abs(w["y0"] - p["y0"]) > 5.0)
-    piece = lambda w, i: F.when(i == 0, inner(w)).otherwise(F.concat(
-        F.when(broke(w, F.element_at("_w", F.greatest(i, F.lit(1)))), "\n").otherwise(" "), inner(w)))
-    docs = docs.withColumn("_parts", _marked(F.array_join(F.transform("_w", piece), ""), pattern)).withColumn(
-        "_norms", F.transform(F.filter("_parts", lambda x, i: i % 2 == 1), date_token))
-    hide = F.coalesce(_repeated(F.col("_norms"), least), F.array().cast("array<string>"))
-    if auto_dates is not None:
-        hide = F.array_union(hide, F.coalesce("_dates", F.array().cast("array<string>")))
-    docs = docs.withColumn("_hide", hide)
-    marked = F.array_join(F.transform("_parts", lambda x, i: F.when(
-        (i % 2 == 1) & F.array_contains("_hide", date_token(x)), F.concat(F.lit("\u0001"), x, F.lit("\u0002"))).otherwise(x)), "")
-    # A match that runs over word borders opens in one word and closes in a later one.
-    rows = docs.select(*keys, F.explode(F.arrays_zip(F.col("_w").alias("w"), F.split(marked, "[ \n]").alias("m"))).alias("z")).select(
-        *keys, "z.w.*", F.col("z.m").alias("_m"))
-    doc = W.partitionBy(*keys).orderBy("pos")
-    open_now = F.length(F.regexp_replace("_m", "[^\u0001]", "")) - F.length(F.regexp_replace("_m", "[^\u0002]", ""))
-    inside = F.coalesce(F.sum(open_now).over(doc.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("_new", F.when(inside > 0, 0).otherwise(1)).withColumn(
-        "_g", F.sum("_new").over(doc.rowsBetween(W.unboundedPreceding, 0)))
-    joined = rows.groupBy(*keys, "_g").agg(F.min_by(F.struct(*cols), "pos").alias("f"), F.max("x1").alias("_x1"),
-                                           F.expr("listagg(_m, ' ') within group (order by pos)").alias("_m"))
-    hit = F.col("_m").contains("\u0001")
+    return F.array_join(F.transform(words, lambda w, i: F.when(i == 0, inner(w)).otherwise(F.concat(
+        F.when(broke(w, F.element_at(words, F.greatest(i, F.lit(1)))), "\n").otherwise(" "), inner(w)))), "")
+
+
+def _apply_rule(docs: DataFrame, cols: list[str], rule, in_scope: Column | None) -> DataFrame:
+    """One rule on the array `_w` of each document. The text is built and searched once; where nothing is to hide, or the
+    rule is not in force, the array stays as it is."""
+    pattern, mask, least = java_pattern(rule.pattern, rule.ignore_case), rule.replacement_mask or "", max(1, int(rule.min_occurrences))
+    odd = lambda i: i % 2 == 1
+    text = _document_text("_w")
+    parts = _marked(text if in_scope is None else F.when(in_scope, text), pattern)
+    docs = docs.withColumn("_parts", parts).withColumn("_norms", F.transform(F.filter("_parts", lambda x, i: odd(i)), date_token))
+    none = F.array().cast("array<string>")
+    hide = F.coalesce(_repeated(F.col("_norms"), least), none)
+    docs = docs.withColumn("_hide", F.array_union(hide, F.col("_dates")) if mask == DATE_MASK else hide)
+    # Matches keep their borders in a form that the cut below does not see, so a match through several words is one piece.
+    whole = lambda x: F.concat(F.lit(OPEN), F.translate(x, " \n", BLANK + LINE), F.lit(CLOSE))
+    docs = docs.withColumn("_marked", F.when(F.arrays_overlap("_norms", "_hide"), F.array_join(F.transform("_parts", lambda x, i: F.when(
+        odd(i) & F.array_contains("_hide", date_token(x)), whole(x)).otherwise(x)), "")))
+    # One piece for each word again: the words that a match runs through after its first one have none.
+    runs = F.col("_marked").rlike(f"[{BLANK}{LINE}]")
+    inside = lambda g: F.length(g) - F.length(F.translate(g, BLANK + LINE, ""))
+    docs = docs.withColumn("_g", F.split("_marked", "[ \n]")).withColumn("_m", F.when(runs, F.flatten(F.transform(
+        "_g", lambda g: F.concat(F.array(g), F.array_repeat(F.lit(None).cast("string"), inside(g)))))).otherwise(F.col("_g")))
     some = lambda x: F.when(x.rlike(r"[\p{L}\p{Nd}]"), x).otherwise("")
-    before = some(F.regexp_extract("_m", "(?s)^([^\u0001]*)\u0001", 1))
-    after = some(F.regexp_replace(F.regexp_extract("_m", "(?s)^[^\u0002]*\u0002(.*)$", 1), "[\u0001\u0002]", ""))
-    text = F.trim(F.translate(F.concat(before, F.lit(mask), after), "\u00a0", " "))
-    new = {"text": F.when(hit, text).otherwise(F.col("f.text")), "x1": F.when(hit, F.col("_x1")).otherwise(F.col("f.x1")),
-           "is_masked": F.col("f.is_masked") | hit}
-    return joined.select(*keys, *[new.get(c, F.col(f"f.{c}")).alias(c) for c in cols]).where("text <> ''").select(*words.columns)
+
+    def masked(m: Column) -> Column:
+        m = F.translate(m, BLANK + LINE, "  ")
+        before = some(F.regexp_extract(m, f"(?s)^([^{OPEN}]*){OPEN}", 1))
+        after = some(F.translate(F.regexp_extract(m, f"(?s)^[^{CLOSE}]*{CLOSE}(.*)$", 1), OPEN + CLOSE, ""))
+        return F.trim(F.translate(F.concat(before, F.lit(mask), after), "\u00a0", " "))
+
+    def step(w: Column, i: Column) -> Column:
+        m = F.element_at("_m", i + 1)
+        right = F.when(inside(m) > 0, F.array_max(F.transform(F.slice("_w", i + 1, inside(m) + 1), lambda x: x["x1"]))).otherwise(w["x1"])
+        new = {"text": masked(m), "x1": right, "is_masked": F.lit(True)}
+        return F.when(m.contains(OPEN), F.struct(*[new.get(c, w[c]).alias(c) for c in cols])).when(m.isNotNull(), w)
+
+    left = F.filter(F.transform("_w", step), lambda w: w.isNotNull() & (w["text"] != ""))
+    return docs.withColumn("_w", F.when(F.col("_marked").isNull(), F.col("_w")).otherwise(left)).drop(
+        "_parts", "_norms", "_hide", "_marked", "_g", "_m")
 
 
 def mask_words(words: DataFrame, keys: list[str], rules: list, auto_dates: DataFrame | None = None,
                in_force: DataFrame | None = None) -> DataFrame:
-    """All rules in order. `in_force(keys, rule_id)` limits rules to the documents in their scope."""
+    """All rules in order on positioned words: a match over several words becomes one masked word.
+
+    Text around the match is kept only when it holds a letter or digit; a word that ends empty vanishes. A match is hidden if
+    its value occurs often enough in the document, or if it is a date of `auto_dates(keys, norm)` and the rule masks dates.
+    Where matches share a word the first one counts. Each document is one array from the first rule to the last and becomes
+    rows again at the end, so the words are grouped once however many rules there are.
+
+    `in_force(keys, rule_id)` limits rules with a scope to their documents; such rules without it are an error.
+    """
+    scoped = [r.rule_id for r in rules if not _everywhere(r.product_filter)]
+    if scoped and in_force is None:
+        raise ValueError(f"rules {scoped} hold for some products only: the documents they are in force for are needed")
     out = words if "is_masked" in words.columns else words.withColumn("is_masked", F.lit(False))
+    cols = [c for c in out.columns if c not in keys]
+    rest = [c for c in cols if c != "pos"]
+    docs = out.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", *rest))).alias("_w"))
+    if auto_dates is not None:
+        docs = docs.join(auto_dates.groupBy(*keys).agg(F.collect_set("norm").alias("_dates")), keys, "left")
+    else:
+        docs = docs.withColumn("_dates", F.lit(None).cast("array<string>"))
+    docs = docs.withColumn("_dates", F.coalesce("_dates", F.array().cast("array<string>")))
+    if scoped:
+        held = in_force.where(F.col("rule_id").isin(scoped)).groupBy(*keys).agg(F.collect_set("rule_id").alias("_rules"))
+        docs = docs.join(held, keys, "left").withColumn("_rules", F.coalesce("_rules", F.array().cast("array<string>")))
     for r in rules:
-        least, dates = max(1, int(r.min_occurrences)), auto_dates if r.replacement_mask == DATE_MASK else None
-        run = lambda w: mask_words_by(w, keys, java_pattern(r.pattern, r.ignore_case), r.replacement_mask or "", least, dates)
-        if in_force is None or not (r.product_filter or "").strip():
-            out = run(out)
-        else:
-            docs = in_force.where(F.col("rule_id") == r.rule_id).select(*keys)
-            out = run(out.join(docs, keys, "left_semi")).unionByName(out.join(docs, keys, "left_anti"))
-    return out
+        docs = _apply_rule(docs, ["pos", *rest], r, F.array_contains("_rules", r.rule_id) if r.rule_id in scoped else None)
+    # The outer form, as `explode` would have the optimiser ask for non-empty arrays below all rules and copy them there.
+    return docs.select(*keys, F.explode_outer("_w").alias("_w")).where("_w is not null").select(*keys, "_w.*").select(*out.columns)
+
+
+def _everywhere(scope: str | None) -> bool:
+    parts = [p.strip().upper() for p in re.split("[,;|]", scope or "") if p.strip()]
+    return not parts or any(p in EVERYWHERE for p in parts)
 
 
 def sanitize_block_text(text: Column, rules: list) -> Column:

@@ -94,9 +94,13 @@ def page_scope(page, total, scope, start, end):
             .otherwise(F.lit(True)))
 
 
+# Scopes that mean all products (fixed values).
+EVERYWHERE = ["*", "GLOBAL", "GLOBALE", "TOUS", "ALL"]
+
+
 def is_global(product_filter):
     p = F.trim(F.coalesce(product_filter, F.lit("")))
-    return (p == "") | F.upper(p).isin("*", "GLOBAL", "GLOBALE", "TOUS", "ALL")
+    return (p == "") | F.upper(p).isin(EVERYWHERE)
 
 
 def scope_keys(rules: DataFrame) -> DataFrame:
