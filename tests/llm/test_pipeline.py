@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline as P
 from tests.llm.test_mixing import plain_targets
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_simhash import plain_components
 from tests.llm.test_tokens import plain as plain_ids
 
 WORDS = {"en": "the of and thing which other make water".split(), "de": "der und nicht über straße schön wasser auch".split()}
@@ -98,10 +98,16 @@ def test_exact_stage(stages):
 def test_near_stage(stages):
     before, after = stages[0][2]
     rows = before.collect()
-    prints = [plain_fingerprint(r["text"]) for r in rows]
-    parts = plain_components(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2])
+
+    def shingles(text):
+        w = (text or "").encode().lower().split()
+        return {b" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(r["text"]) for r in rows]
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert close
     best = {}
-    for i, p in parts.items():
+    for i, p in plain_components(range(len(rows)), close).items():
         rank = (rows[i]["doc_id"] is None, rows[i]["doc_id"] or 0)
         if p not in best or rank < best[p][0]:
             best[p] = (rank, rows[i])
