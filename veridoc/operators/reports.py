@@ -98,17 +98,6 @@ def export_product_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("product").option("sep", ";").option("quoteAll", True).option("header", True).csv(path)
 
 
-def snapshot_run(pairs: DataFrame, blocks: DataFrame, path: str, run_id: str) -> None:
-    """Saves a run under its id; a rerun replaces that id only."""
-    for name, df in (("pairs", pairs), ("diff_blocks", blocks)):
-        df.write.mode("overwrite").parquet(f"{path}/{name}/run_id={run_id}")
-
-
-def restore_run(spark, path: str, run_id: str) -> tuple[DataFrame, DataFrame]:
-    read = lambda name: spark.read.parquet(f"{path}/{name}/run_id={run_id}")
-    return read("pairs"), read("diff_blocks")
-
-
 # --- review ------------------------------------------------------------------------------------------
 
 def recount(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
