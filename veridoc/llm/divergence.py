@@ -20,7 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from veridoc.llm.common import small, store, to_python
+from veridoc.llm.common import BROADCAST_LIMIT, small, store, to_python
+from veridoc.session import plan_bytes
 
 #: Documents of the language that a kept term occurs in; ranks of terms reported; scale of the shares.
 LEAST_DOCS, TERM_RANKS, SCALE = 3, 200, 1_000_000_000
@@ -115,12 +116,18 @@ def trees(counts: DataFrame, groups: list[str], terms: int) -> tuple[list[DataFr
         level = level.groupBy(*groups, F.floor(F.col("id") / WIDTH).alias("up")).agg(F.array(*_children(level, "node")).alias("children"))
 
 
+def _built(table: DataFrame) -> DataFrame:
+    """The side of a join that a hash table is built of: broadcast if small, else each partition's part of it. Its keys are
+    distinct, so no part is much larger than others, and the long side need not be sorted."""
+    return F.broadcast(table) if plan_bytes(table) <= BROADCAST_LIMIT else table.hint("shuffle_hash")
+
+
 def _opened(pairs: DataFrame, nodes: DataFrame, side: str) -> DataFrame:
     """The children of one side. A missing node meets nothing; its rows are dealt out by the node of the other side."""
     other = "b" if side == "a" else "a"
     key = F.coalesce(F.col(side), F.concat(F.lit(b"-"), F.col(other)))
     table = nodes.select(F.col("node").alias("_node"), F.col("children").alias(f"{side}_children"))
-    return pairs.join(small(table), key == F.col("_node"), "left").drop("_node")
+    return pairs.join(_built(table), key == F.col("_node"), "left").drop("_node")
 
 
 def share(n, total):
@@ -209,7 +216,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     counts = store(term_counts(docs, text, lang, source).join(small(seen), ["lang", "source"]).drop("source"), "divergence-counts")
     terms = store(kept_terms(counts, least_docs), "divergence-ids")
     sizes = store(terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_total")), "divergence-sizes")
-    held = store(counts.join(terms, ["lang", "term"]).select("lang", "g", "term", "id", "n", "total"), "divergence-held")
+    held = store(counts.join(_built(terms), ["lang", "term"]).select("lang", "g", "term", "id", "n", "total"), "divergence-held")
     totals = held.groupBy("lang", "g").agg(F.sum("n").alias("total"))
     groups = seen.join(small(totals), ["lang", "g"], "left").join(small(sizes), "lang", "left").na.fill(0, ["total", "v", "lang_total"])
     groups = store(groups, "divergence-totals")
