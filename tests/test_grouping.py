@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from veridoc.operators import grouping as G, spots
+from veridoc.operators import grouping as G, spots, sweeps
 
 
 def same_spot(a, b):
@@ -88,7 +88,7 @@ def test_sweep_in_pieces_equals_one_sweep(seed):
     whole, parts, ids = [], [], []
     want = spots.sweep(whole, [list(r) for r in rows])
     for k in range(0, len(rows), 17):
-        parts = spots.unpacked(spots.packed(parts))
+        parts = sweeps.unpacked(sweeps.packed(parts))
         ids += spots.sweep(parts, [list(r) for r in rows[k:k + 17]])
     assert ids == want and parts == whole
 

@@ -1,4 +1,4 @@
-"""Finding source and target folders in a file listing, and upserts of rules and zones.
+"""Finding source and target folders in a file listing, and upserts of rules.
 
 A listing is a table `files(path)`; folders are derived from it, so one pass over the names replaces a walk.
 """
@@ -121,23 +121,3 @@ def upsert_rules(rules: DataFrame, new: DataFrame) -> DataFrame:
     cols = [F.when(F.col("n._key").isNotNull(), F.lit(True)).otherwise(F.col(f"o.{c}")).alias(c) if c in update
             else (F.coalesce(f"n.{c}", f"o.{c}") if c in ("pattern", "replacement_mask") else F.coalesce(f"o.{c}", f"n.{c}")).alias(c) for c in rules.columns]
     return both.select(*cols)
-
-
-def upsert_zones(zones: DataFrame, new: DataFrame) -> DataFrame:
-    """A new box that overlaps a user zone of its product and page widens it; any other becomes a zone of at least 8 x 6.
-
-    Both tables: (product, page, left, bottom, right, top).
-    """
-    o, n = zones.alias("o"), new.alias("n")
-    meet = ((F.upper("o.product") == F.upper("n.product")) & (F.col("o.page") == F.col("n.page"))
-            & (F.least("n.top", "o.top") + 2.0 >= F.greatest("n.bottom", "o.bottom"))
-            & (F.abs((F.col("n.bottom") + F.col("n.top")) / 2 - (F.col("o.bottom") + F.col("o.top")) / 2) <= 16.0)
-            & (F.least("n.right", "o.right") + 10.0 >= F.greatest("n.left", "o.left")))
-    grown = o.join(n, meet, "left").groupBy(*[F.col(f"o.{c}") for c in zones.columns]).agg(
-        *[F.min(f"n.{c}").alias(f"_{c}") for c in ("left", "bottom")], *[F.max(f"n.{c}").alias(f"_{c}") for c in ("right", "top")])
-    grown = grown.select("product", "page", F.bround(F.least("left", "_left"), 1).alias("left"), F.bround(F.least("bottom", "_bottom"), 1).alias("bottom"),
-                         F.bround(F.greatest("right", "_right"), 1).alias("right"), F.bround(F.greatest("top", "_top"), 1).alias("top"))
-    added = n.join(o, meet, "left_anti").select("product", "page", F.bround("left", 1).alias("left"), F.bround("bottom", 1).alias("bottom"),
-                                                F.bround(F.greatest(F.col("right"), F.col("left") + 8.0), 1).alias("right"),
-                                                F.bround(F.greatest(F.col("top"), F.col("bottom") + 6.0), 1).alias("top"))
-    return grown.unionByName(added)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from veridoc.functions.text import fold, one_line
-from veridoc.operators import spots
+from veridoc.operators import spots, sweeps
 from veridoc.operators.ranking import rank_in_group
 from veridoc.operators.spots import COLUMN, OVERLAP
 from veridoc.session import small, written
@@ -100,32 +100,22 @@ def spot_edges(nodes: DataFrame) -> DataFrame:
 
 
 def spot_islands(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds `y_isle` and `x_isle`: boxes of different isles can never meet, however far merged boxes widen.
+    """Adds `y_isle` and `x_isle`: boxes of different isles can never meet.
 
-    A merged box stays inside the hull of its members. Hulls whose heights lie more than the overlap tolerance apart are never
-    on one level; on one level, hulls more than the column tolerance apart share no column. Isles are found on distinct
-    intervals, which are few beside the boxes of a hot page.
+    Hulls whose heights lie more than the overlap tolerance apart are never on one level; on one level, hulls more than the
+    column tolerance apart share no column.
     """
     start = F.when(F.col("f_right") > F.col("f_left"), F.col("f_left")).otherwise(F.col("left"))
     out = boxes.withColumn("_lo", F.least("left", start)).withColumn("_hi", F.greatest("right", start))
-    for name, lo, hi, gap, inside in (("y_isle", "bottom", "top", OVERLAP, keys), ("x_isle", "_lo", "_hi", COLUMN, [*keys, "y_isle"])):
-        order = W.partitionBy(*inside).orderBy(lo, hi)
-        reach = F.max(hi).over(order.rowsBetween(W.unboundedPreceding, -1))
-        first = F.when(reach.isNull() | (reach + gap < F.col(lo)), 1).otherwise(0)
-        spans = out.select(*inside, lo, hi).distinct().withColumn("_first", first)
-        spans = spans.withColumn(name, F.sum("_first").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_first")
-        out = out.join(small(written(spans)), [*inside, lo, hi])
-    return out.drop("_lo", "_hi")
+    return sweeps.islands(out, keys, [("y_isle", "bottom", "top", OVERLAP), ("x_isle", "_lo", "_hi", COLUMN)]).drop("_lo", "_hi")
 
 
 def merge_variants(groups: DataFrame, chunk: int = SPOT_CHUNK, limit: int | None = None) -> DataFrame:
     """Adds `component`: groups at the same spot belong together, unless both come from one and the same document.
 
     Groups are swept in order (first_doc, page, signature) of their product and page; a merged box widens and then catches
-    more (see `spots`). Pages fall into isles that cannot meet, and the sweep of a crowded isle into chunks. A chunk starts with
-    the targets that the chunk before it ends with; first all start with those of the first chunk, which mostly hold them all, and
-    chunks whose start turns out different are swept again, so the result is that of one serial sweep. The component is the
-    id of the group that the others joined; groups without a box stay alone.
+    more (see `spots`). Pages fall into isles that cannot meet, and the sweep of a crowded isle into chunks (see `sweeps`). The
+    component is the id of the group that the others joined; groups without a box stay alone.
     """
     g = written(groups.withColumn("gid", F.sha2(F.concat_ws("|", "product", "signature"), 256)))
     placed = F.col("left").isNotNull() & F.col("bottom").isNotNull() & F.col("right").isNotNull() & F.col("top").isNotNull()
@@ -135,54 +125,15 @@ def merge_variants(groups: DataFrame, chunk: int = SPOT_CHUNK, limit: int | None
                                    F.when(F.col("n_docs") == 1, F.col("first_doc").cast("string")).alias("doc"))
     isle = ["product", "page", "y_isle", "x_isle"]
     rows = rank_in_group(spot_islands(boxes, ["product", "page"]), isle, [F.col(c) for c in order if c != "page"], "rn", limit)
-    rows = written(rows.select(*isle, F.floor((F.col("rn") - 1) / chunk).alias("chunk"), "rn", "gid", *BOX, "doc"))
-    keys = [*isle, "chunk"]
-    key_types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-
-    def swept(part: DataFrame, starts: DataFrame) -> DataFrame:
-        """(keys, gid, target, start, state): rows with their target, and a row without gid for the targets at the end."""
-        def run(pdf: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
-            start = first["state"].iloc[0]
-            targets, pdf = spots.unpacked(start), pdf.sort_values("rn")
-            docs = [None if pd.isna(d) else d for d in pdf["doc"]]
-            took = spots.sweep(targets, map(list, zip(pdf["gid"], *(pdf[c] for c in BOX), docs)))
-            out = pd.DataFrame({"gid": [*pdf["gid"], None], "target": [*took, None]})
-            out["start"], out["state"] = [None] * len(took) + [start], [None] * len(took) + [spots.packed(targets)]
-            for k in keys[::-1]:
-                out.insert(0, k, pdf[k].iloc[0])
-            return out
-        fresh = starts.toDF(*[f"_{c}" for c in starts.columns]).toDF(*starts.columns)  # no shared attributes with `part`
-        return part.groupBy(*keys).cogroup(fresh.groupBy(*keys)).applyInPandas(run, f"{key_types}, gid string, target string, start string, state string")
-
-    ends = lambda df: df.where("gid is null").select(*keys, "start", "state")
-    head = rows.where("chunk = 0")
-    first = written(swept(head, head.select(*keys).distinct().withColumn("state", F.lit("[]"))))
-    done, last = first, ends(first)
-    later = rows.where("chunk > 0")
-    if not later.isEmpty():
-        chunks = later.select(*keys).distinct()
-        begin = chunks.join(last.select(*isle, "state"), isle)
-        run = written(swept(later, begin))
-        while True:
-            # The chunk before hands on what it ends with; rows of chunks that started otherwise are swept again.
-            before = ends(first).union(ends(run)).select(*isle, (F.col("chunk") + 1).alias("chunk"), F.col("state").alias("want"))
-            wrong = written(ends(run).join(before, keys).where("start <> want").select(*keys, F.col("want").alias("state")))
-            if wrong.isEmpty():
-                break
-            again = swept(later.join(wrong.select(*keys), keys, "left_semi"), wrong)
-            run = written(run.join(wrong.select(*keys), keys, "left_anti").unionByName(again))
-        done = first.unionByName(run)
-        newest = W.partitionBy(*isle).orderBy(F.col("chunk").desc())
-        last = ends(done).withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    done, last = sweeps.chunked_sweep(rows, isle, ["gid", *BOX, "doc"], spots.sweep, chunk)
     moved = written(last.select(_settled("state").alias("m")).select(F.explode("m").alias("target", "component")).where("target <> component"))
-    took = done.where("gid is not null").select("gid", "target").join(small(moved), "target", "left").select(
-        "gid", F.coalesce("component", "target").alias("component"))
+    took = done.join(small(moved), "target", "left").select("gid", F.coalesce("component", "target").alias("component"))
     return g.join(took, "gid", "left").withColumn("component", F.coalesce("component", "gid"))
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def _settled(states: pd.Series) -> pd.Series:
-    return states.map(lambda s: spots.settle(spots.unpacked(s)))
+    return states.map(lambda s: spots.settle(sweeps.unpacked(s)))
 
 
 def finalize_groups(merged: DataFrame, docs: DataFrame) -> DataFrame:

@@ -2,12 +2,10 @@
 
 Rows are offered in order to the targets found so far; the first target at the same spot takes the row and widens, and a row
 that none takes is a target itself. Afterwards the targets are offered to each other in the same way until nothing changes.
-What a sweep must remember is the list of its targets, so long sweeps are cut into chunks that hand this list on.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable
 
 #: Places in a target or row: id, four sides of the tight box, four of the field box, the only document or None for several.
@@ -79,11 +77,3 @@ def settle(targets: list[list]) -> dict[str, str]:
         if len(left) == len(targets):
             return end
         targets = left
-
-
-def packed(targets: list[list]) -> str:
-    return json.dumps(targets)
-
-
-def unpacked(state: str) -> list[list]:
-    return json.loads(state)

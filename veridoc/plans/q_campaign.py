@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from veridoc.functions.text import fold
-from veridoc.operators import campaign as C
+from veridoc.operators import campaign as C, review as V, runs as R, zonerules as Z
+from veridoc.operators.grouping import top_k
 from veridoc.plans.oracle import cte, with_
-from veridoc.plans.q_blocks import block_table
+from veridoc.plans.q_blocks import SPOT, block_table, status_table
 from veridoc.plans.registry import query
+from veridoc.session import cut, shared_path
 from veridoc.sources import corpus
 
 
@@ -84,21 +86,79 @@ def u2(spark, sf_dir):
 
 
 cte("zo", 'SELECT product, page, min("left") AS l, min(bottom) AS b, max("right") AS r, min(top) AS t FROM blocks WHERE severity = 3 GROUP BY ALL', "blocks")
-cte("zn", 'SELECT DISTINCT product, page, "left" AS l, bottom AS b, "right" AS r, top AS t FROM blocks WHERE severity = 2', "blocks")
+# Zones of blocks without digits, in order of their first block.
+cte("zn", """SELECT product, page, f_left AS l, f_bottom AS b, f_right AS r, f_top AS t, min(struct_pack(pair_id := pair_id, seq := seq)) AS first_at
+  FROM blocks WHERE severity = 2 GROUP BY ALL""", "blocks")
+MEET = "least(n.t, z.y + z.h) + 2 >= greatest(n.b, z.y) AND abs((n.b + n.t) * 0.5 - (z.y + (z.y + z.h)) * 0.5) <= 16 AND least(n.r, z.x + z.w) + 10 >= greatest(n.l, z.x)"
 
 
-@query("u3_zone_upsert", with_("""SELECT product, page, round_even(l, 1) AS "left", round_even(b, 1) AS bottom, round_even(r, 1) AS "right", round_even(t, 1) AS top FROM (
-   SELECT o.product, o.page, least(o.l, min(n.l)) AS l, least(o.b, min(n.b)) AS b, greatest(o.r, max(n.r)) AS r, greatest(o.t, max(n.t)) AS t FROM zo o LEFT JOIN zn n ON o.product = n.product AND o.page = n.page
-     AND least(n.t, o.t) + 2 >= greatest(n.b, o.b) AND abs((n.b + n.t) / 2 - (o.b + o.t) / 2) <= 16 AND least(n.r, o.r) + 10 >= greatest(n.l, o.l) GROUP BY o.product, o.page, o.l, o.b, o.r, o.t
-   UNION ALL SELECT product, page, l, b, greatest(r, l + 8), greatest(t, b + 6) FROM zn n WHERE NOT EXISTS (SELECT 1 FROM zo o WHERE o.product = n.product AND o.page = n.page
-     AND least(n.t, o.t) + 2 >= greatest(n.b, o.b) AND abs((n.b + n.t) / 2 - (o.b + o.t) / 2) <= 16 AND least(n.r, o.r) + 10 >= greatest(n.l, o.l)))""", "zo", "zn"))
-def u3(spark, sf_dir):
-    b = block_table(spark, sf_dir)
-    box = lambda df: df.groupBy("product", "page").agg(F.min("left").alias("left"), F.min("bottom").alias("bottom"), F.max("right").alias("right"), F.min("top").alias("top"))
-    return C.upsert_zones(box(b.where("severity = 3")), b.where("severity = 2").select("product", "page", "left", "bottom", "right", "top").distinct())
+def closure(old: str, new: str) -> str:
+    """Recursive SQL: boxes of `new`(product, page, l, b, r, t, first_at) are applied one after another to the list of zones of their page."""
+    tenth = lambda v: f"round_even(({v}) * 10, 0) / 10"
+    pack = lambda l, b, r, t, n: (f"struct_pack(x := {tenth(l)}, y := {tenth(b)}, w := {tenth(f'greatest(8.0, ({r}) - ({l}))')}, "
+                                  f"h := {tenth(f'greatest(6.0, ({t}) - ({b}))')}, n := {n})")
+    grown = pack("least(z.x, n.l)", "least(z.y, n.b)", "greatest(z.x + z.w, n.r)", "greatest(z.y + z.h, n.t)", "z.n + 1")
+    return f"""(WITH RECURSIVE box AS (SELECT *, row_number() OVER (PARTITION BY product, page ORDER BY first_at) AS i FROM {new}),
+   start AS (SELECT product, page, coalesce(zs, []) AS zs FROM (SELECT DISTINCT product, page FROM {new} UNION SELECT product, page FROM {old}) LEFT JOIN (
+     SELECT product, page, list(struct_pack(x := l::DOUBLE, y := b::DOUBLE, w := (r - l)::DOUBLE, h := (t - b)::DOUBLE, n := 0::BIGINT)) AS zs FROM {old} GROUP BY ALL) USING (product, page)),
+   walk AS (SELECT product, page, 0::BIGINT AS i, zs FROM start
+     UNION ALL SELECT product, page, i, CASE WHEN k IS NULL THEN list_append(zs, {pack("n.l", "n.b", "n.r", "n.t", "1::BIGINT")})
+       ELSE list_transform(zs, lambda z, j: CASE WHEN j = k THEN {grown} ELSE z END) END
+     FROM (SELECT s.product, s.page, n.i, s.zs, n, list_position(list_transform(s.zs, lambda z: {MEET}), true) AS k
+       FROM walk s JOIN box n ON n.product = s.product AND n.page = s.page AND n.i = s.i + 1))
+   SELECT product, page, unnest(zs) AS z FROM (SELECT product, page, arg_max(zs, i) AS zs FROM walk GROUP BY ALL))"""
+
+
+ZONES = """SELECT product, page, z.x AS "left", z.y AS bottom, CASE WHEN z.n > 0 THEN round_even((z.x + z.w) * 10, 0) / 10 ELSE z.x + z.w END AS "right",
+  CASE WHEN z.n > 0 THEN round_even((z.y + z.h) * 10, 0) / 10 ELSE z.y + z.h END AS top, z.n AS boxes FROM {}"""
+
 
+def new_boxes(blocks):
+    """Zone boxes of blocks, equal ones of a page once, in order of their first block."""
+    first = Z.zone_box(blocks).groupBy("product", "page", "left", "bottom", "right", "top").agg(F.min(F.struct("pair_id", "seq")).alias("at"))
+    return first.withColumn("box_id", F.concat_ws("-", F.lit("box"), "at.pair_id", "at.seq"))
 
 
+def old_zones(blocks):
+    box = blocks.where("severity = 3").groupBy("product", "page").agg(F.min("left").alias("left"), F.min("bottom").alias("bottom"), F.max("right").alias("right"), F.min("top").alias("top"))
+    return box.withColumn("zone_id", F.concat_ws("-", F.lit("zone"), "product", "page"))
+
+
+@query("u3_zone_upsert", with_(ZONES.format(closure("zo", "zn")), "zo", "zn"))
+def u3(spark, sf_dir):
+    b = block_table(spark, sf_dir)
+    out, _ = Z.upsert_zones(old_zones(b), new_boxes(b.where("severity = 2")), ["zone_id"], ["at"])
+    return out.select("product", "page", "left", "bottom", "right", "top", "boxes")
+
+
+# A reviewer clicks on the first three blocks of each product.
+cte("clicked", "SELECT * FROM blocks QUALIFY row_number() OVER (PARTITION BY product ORDER BY pair_id, seq) <= 3", "blocks")
+cte("clicked_box", "SELECT product, page, f_left AS l, f_bottom AS b, f_right AS r, f_top AS t, struct_pack(pair_id := pair_id, seq := seq) AS first_at FROM clicked", "clicked")
+cte("no_zone", "SELECT * FROM zo LIMIT 0", "zo")
+cte("made", f"SELECT * FROM ({ZONES.format(closure('no_zone', 'clicked_box'))})", "no_zone", "clicked_box")
+# Sums over a block's side and a zone's side: the centre lies inside or 45 % of the block do.
+INSIDE = """(((b."{0}" + b."{1}") * 0.5 BETWEEN m."{0}" AND m."{1}") OR greatest(0, least(b."{1}", m."{1}") - greatest(b."{0}", m."{0}")) / greatest(0.1, b."{1}" - b."{0}") >= 0.45)"""
+HIT = f"""EXISTS (SELECT 1 FROM made m WHERE m.product = b.product AND m.page = b.page AND b."left" <= m."right" AND b."right" >= m."left" AND b.bottom <= m.top AND b.top >= m.bottom
+  AND {INSIDE.format("left", "right")} AND {INSIDE.format("bottom", "top")})
+  OR EXISTS (SELECT 1 FROM clicked a WHERE a.product = b.product AND {SPOT}) OR EXISTS (SELECT 1 FROM clicked a WHERE a.product = b.product AND a.page = b.page AND a.signature = b.signature)"""
+
+
+@query("j20_zone_rule", with_(f"""SELECT pair_id, status, diff_count, critical_count, max_severity, insertions, deletions FROM (SELECT pair_id, CASE WHEN st.status <> 'Different' THEN st.status WHEN n IS NULL THEN 'Identical' ELSE 'Different' END AS status,
+  CASE WHEN st.status = 'Different' THEN coalesce(n, 0) ELSE diff_count END AS diff_count, coalesce(c, 0)::BIGINT AS critical_count, coalesce(s, 0) AS max_severity,
+  CASE WHEN n IS NULL THEN 0 ELSE insertions END AS insertions, CASE WHEN n IS NULL THEN 0 ELSE deletions END AS deletions
+  FROM st LEFT JOIN (SELECT pair_id, count(*) AS n, count_if(severity = 3)::BIGINT AS c, max(severity) AS s FROM blocks b WHERE NOT ({HIT}) GROUP BY ALL) k USING (pair_id))""", "st", "clicked", "made"))
+def j20z(spark, sf_dir):
+    """A stored run after zones were made from clicked blocks: the blocks they exclude are taken out of it."""
+    st, b = status_table(spark, sf_dir)
+    path = shared_path(spark, "runs")
+    R.snapshot_run(st.withColumn("note", F.lit("")), b, path, "run")
+    clicks = top_k(b, ["product"], [F.col("pair_id"), F.col("seq")], 3).withColumn("box_id", F.concat_ws("-", F.lit("box"), "pair_id", "seq"))
+    clicks = cut(clicks.drop("rank"))
+    zones, took = Z.upsert_zones(old_zones(b).limit(0), Z.zone_box(clicks), ["zone_id"], ["pair_id", "seq"])
+    zones, clicks = cut(zones), cut(clicks.join(took, "box_id"))
+    R.retract_blocks(spark, path, "run", lambda blocks: V.excluded_by_zones(blocks, zones, clicks), V.EXCLUDED)
+    return R.restore_run(spark, path, "run")[0].select("pair_id", "status", "diff_count", "critical_count", "max_severity", "insertions", "deletions")
+
 
 @query("e4_dedupe_overprint_glyphs", with_(r"""SELECT tok, regexp_replace(tok, '^(.)', '\1') AS text FROM tokens WHERE regexp_matches(tok, '^[A-Za-z]+$')""", "tokens"))
 def e4(spark, sf_dir):
