@@ -39,19 +39,51 @@ def with_fallback(counts: DataFrame, base: DataFrame, name: str) -> DataFrame:
         name, F.when(F.col("_n").isNull() & F.col("c").isNotNull(), F.col("c.dir")).otherwise(F.col(name))).drop("_n", "c")
 
 
+def product_files(files: DataFrame, root: str, channels: list[str], inner: str | None = None, rules: P.Channels = P.Channels()) -> DataFrame:
+    """Files with the product they belong to: (path, channel, product, top, rest), `rest` the names below the product's folder `top`.
+
+    The first level at which the whole scan finds a product holds for all files: <root>/<channel>/<product>; the same below the
+    folder `inner`, if given; the root is itself a product, with a child Source; every child of the root but channels is a product.
+    A root that is named as a channel stands for its parent. Outside the first two levels the channel follows from the path. A root
+    without files gives no rows.
+    """
+    root = root.rstrip("/")
+    up, _, last = root.rpartition("/")
+    root = up if last.upper() in [c.strip().upper() for c in channels] else root
+    below = files.where(F.col("path").startswith(root + "/")).withColumn("_p", F.split(F.expr(f"substring(path, {len(root) + 2})"), "/"))
+    at = lambda i: F.try_element_at("_p", F.lit(i))
+    known = lambda x: F.coalesce(P.among(x, channels), F.lit(False))
+
+    def level(n, skip, fits, top, channel, product):
+        return F.when(F.coalesce(fits, F.lit(False)) & (F.size("_p") > skip), F.struct(
+            F.lit(n).alias("level"), channel.alias("channel"), product.alias("product"), top.alias("top"),
+            F.slice("_p", F.lit(skip + 1), F.greatest(F.size("_p") - skip, F.lit(0))).alias("rest")))
+
+    folder_of = lambda n: F.concat_ws("/", F.lit(root), F.slice("_p", 1, n)) if n else F.lit(root)
+    none = F.lit(None).cast("string")
+    name = F.lit(root.rpartition("/")[2])
+    levels = [level(0, 2, known(at(1)), folder_of(2), at(1), at(2)),
+              level(1, 3, (F.upper(at(1)) == (inner or "").upper()) & known(at(2)), folder_of(3), at(2), at(3)),
+              level(2, 0, F.lit(True), folder_of(0), P.resolve_channel(none, F.lit(root), none, none, rules), name),
+              level(3, 1, ~known(at(1)), folder_of(1), P.resolve_channel(none, folder_of(1), none, at(1), rules), at(1))]
+    every = below.select("path", F.explode(F.filter(F.array(*levels), lambda x: x.isNotNull())).alias("f")).select("path", "f.*")
+    # The root is a product only with a child Source.
+    found = every.agg(F.min(F.when((F.col("level") != 2) | ((F.size("rest") > 1) & (F.upper(F.col("rest")[0]) == "SOURCE")), F.col("level"))).alias("level"))
+    return every.join(F.broadcast(found), "level").drop("level")  # one row
+
+
 def discover_product_subfolders(files: DataFrame, root: str, channels: list[str], release: str, source: str = "Source",
-                                target: str = "Target") -> DataFrame:
-    """Products under <root>/<channel>/<product>: their source folder and the target folder of the release."""
-    base = files.where(F.col("path").startswith(root + "/")).withColumn("_p", F.split(F.expr(f"substring(path, {len(root) + 2})"), "/"))
-    base = base.where(P.among(F.col("_p")[0], channels) & (F.size("_p") >= 3))
-    src, rel, trg = (F.upper(F.col("_p")[2]) == source.upper()), P.release_order(F.col("_p")[2]), F.upper(F.try_element_at("_p", F.lit(4))) == target.upper()
+                                target: str = "Target", inner: str | None = None, rules: P.Channels = P.Channels()) -> DataFrame:
+    """Products of a scan (`product_files`): their source folder and the target folder of the release."""
+    base = product_files(files, root, channels, inner, rules).withColumnRenamed("rest", "_p")
+    src, rel, trg = (F.upper(F.col("_p")[0]) == source.upper()), P.release_order(F.col("_p")[0]), F.upper(F.try_element_at("_p", F.lit(2))) == target.upper()
     want = P.release_order(F.lit(release))
-    match = (F.upper(F.col("_p")[2]) == release.upper()) | ((want > 0) & (rel == want))
-    items = base.groupBy(F.col("_p")[0].alias("channel"), F.col("_p")[1].alias("product")).agg(
-        F.max(F.when(src, F.col("_p")[2])).alias("_s"), F.max(F.when(match, F.col("_p")[2])).alias("release"),
-        F.max(F.when(match & trg, F.try_element_at("_p", F.lit(4)))).alias("_t"),
-        F.array_join(F.slice(F.reverse(F.array_sort(F.collect_set(F.when(rel > 0, F.struct(rel.alias("o"), F.col("_p")[2].alias("r"))))))["r"], 1, 6), ", ").alias("releases"))
-    top = F.concat_ws("/", F.lit(root), "channel", "product")
+    match = (F.upper(F.col("_p")[0]) == release.upper()) | ((want > 0) & (rel == want))
+    items = base.groupBy("channel", "product", "top").agg(
+        F.max(F.when(src, F.col("_p")[0])).alias("_s"), F.max(F.when(match, F.col("_p")[0])).alias("release"),
+        F.max(F.when(match & trg, F.try_element_at("_p", F.lit(2)))).alias("_t"),
+        F.array_join(F.slice(F.reverse(F.array_sort(F.collect_set(F.when(rel > 0, F.struct(rel.alias("o"), F.col("_p")[0].alias("r"))))))["r"], 1, 6), ", ").alias("releases"))
+    top = F.col("top")
     items = items.withColumn("source_dir", F.concat(top, F.lit("/"), F.coalesce("_s", F.lit(source)))).withColumn(
         "target_dir", F.concat(top, F.lit("/"), F.coalesce("release", F.lit(release)), F.when(F.col("_t").isNotNull() | F.col("release").isNull(), F.concat(
             F.lit("/"), F.coalesce("_t", F.lit(target)))).otherwise("")))
@@ -75,7 +107,11 @@ def discover_mirror_trees(files: DataFrame, source_root: str, target_root: str,
 
 def discover_auto_pairs(files: DataFrame, root: str, source_names: list[str] = P.SOURCE_FOLDERS, target_names: list[str] = P.TARGET_FOLDERS,
                         depth: int = 4) -> DataFrame:
-    """Topmost folders that hold a source-named child and a target-named one (as a child, or one level below a sibling)."""
+    """Topmost folders that hold a source-named child and a target-named one (as a child, or one level below a sibling).
+
+    Where the whole scan finds none, a root with exactly two child folders that hold files is a pair of its own, in order of
+    their names.
+    """
     f = files.where(F.col("path").startswith(root + "/") & F.lower("path").endswith(".pdf")).withColumn(
         "_d", F.split(F.expr(f"substring(path, {len(root) + 2})"), "/"))
     f = f.withColumn("_d", F.slice("_d", F.lit(1), F.size("_d") - 1))
@@ -92,8 +128,14 @@ def discover_auto_pairs(files: DataFrame, root: str, source_names: list[str] = P
     parents = hits.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("dir", "/")) - 1, F.lit(1))), lambda k: F.array_join(
         F.slice(F.split("dir", "/"), F.lit(1), k), "/"))).alias("top"))
     covered = parents.join(above, "top", "left_semi").select("dir").distinct()
-    return hits.join(covered, "dir", "left_anti").select("dir", F.regexp_extract("dir", r"([^/]*)$", 1).alias("product"), "source_name", "source_count", "target_count",
-                                                         (F.col("target_count") > 0).alias("is_ready"))
+    name = F.regexp_extract("dir", r"([^/]*)$", 1)
+    pairs = hits.join(covered, "dir", "left_anti").select("dir", name.alias("product"), "source_name", "source_count", "target_count",
+                                                          (F.col("target_count") > 0).alias("is_ready"))
+    here = folder_counts(files).where(folder(F.col("dir")) == root)
+    ends = here.withColumn("at", F.struct(F.upper("dir").alias("u"), name.alias("name"), F.col("n"))).agg(F.count("*").alias("k"), F.min("at").alias("s"), F.max("at").alias("t"))
+    two = ends.where("k = 2").withColumn("_any", F.lit(1)).join(hits.select(F.lit(1).alias("_any")).limit(1), "_any", "left_anti")
+    return pairs.unionByName(two.select(F.lit(root).alias("dir"), F.lit(root.rpartition("/")[2]).alias("product"), F.col("s.name").alias("source_name"),
+                                        F.col("s.n").alias("source_count"), F.col("t.n").alias("target_count"), F.lit(True).alias("is_ready")))
 
 
 def order_releases(names: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from veridoc.functions import paths as P
 from veridoc.functions.text import fold
 from veridoc.operators import campaign as C, review as V, runs as R, zonerules as Z
 from veridoc.operators.grouping import top_k
@@ -52,6 +53,39 @@ def a5(spark, sf_dir):
     return C.discover_auto_pairs(listing(spark, sf_dir), "/data")
 
 
+NAMED = P.Channels(aliases={"Bank": ["Bank"], "Broker": ["Broker"]})
+
+
+@query("a3_root_is_parent", with_(f"SELECT * FROM ({ITEM}) WHERE channel = 'Bank'", "cnt"))
+def a3_parent(spark, sf_dir):
+    """No folder is named as the channel asked for, so the children of the root are products."""
+    found = C.discover_product_subfolders(listing(spark, sf_dir), "/data/Bank", ["Shop"], "2026_R11", rules=NAMED)
+    return found.select("channel", "product", "release", "source_dir", "source_count", "target_count", "is_ready", "status_text")
+
+
+@query("a3_inner_folder", with_(ITEM, "cnt"))
+def a3_inner(spark, sf_dir):
+    """The channels lie one folder deeper."""
+    found = C.discover_product_subfolders(listing(spark, sf_dir), "/", ["Bank", "Broker"], "2026_R11", inner="data")
+    return found.select("channel", "product", "release", "source_dir", "source_count", "target_count", "is_ready", "status_text")
+
+
+@query("a3_root_is_product", with_("""SELECT 'Bank' AS channel, 'All' AS product, '2026_R11' AS release, '/Bank/All/Source' AS source_dir, sum(s)::BIGINT AS source_count, sum(t)::BIGINT AS target_count,
+  'Ready (' || sum(s)::BIGINT || ' / ' || sum(t)::BIGINT || ')' AS status_text FROM cnt""", "cnt"))
+def a3_product(spark, sf_dir):
+    """All files in the folders of one product, which is the root."""
+    files = listing(spark, sf_dir).select(F.regexp_replace("path", "^/data/[^/]+/[^/]+", "/Bank/All").alias("path"))
+    found = C.discover_product_subfolders(files, "/Bank/All", ["Shop"], "2026_R11", rules=NAMED)
+    return found.select("channel", "product", "release", "source_dir", "source_count", "target_count", "status_text")
+
+
+@query("a5_two_folders", with_("""SELECT '/both' AS dir, 'both' AS product, 'Left' AS source_name, sum(s)::BIGINT AS source_count, sum(t)::BIGINT AS target_count, true AS is_ready FROM cnt""", "cnt"))
+def a5_two(spark, sf_dir):
+    """No folder has a known name, but the root has exactly two that hold files."""
+    side = lambda s, to: corpus.files(spark, sf_dir, s).select(F.regexp_replace("path", "^.*/", f"/both/{to}/").alias("path"))
+    return C.discover_auto_pairs(side("S", "Left").union(side("T", "Right")), "/both")
+
+
 def releases(spark, sf_dir):
     o = corpus.table(spark, sf_dir, "orders")
     return o.select(F.concat(F.year("o_orderdate"), F.lit("_R"), F.month("o_orderdate").cast("string")).alias("release"))
