@@ -25,16 +25,19 @@ def record(url: Column, identifier: Column, body: Column) -> Column:
 
 
 def leaves(records: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(replica, archive, offset, copies, low, high, node): one row per place; rows that repeat a place are one leaf.
+    """(replica, archive, offset, state, high, node): one row per place; rows that repeat a place are one leaf.
 
-    `low` and `high` are the least and largest digest at the place, so a further, differing copy changes the leaf. A null
-    content counts as lost. Rows with a null replica, archive or offset have no place.
+    `state` names the whole bag of contents at the place: their number, least and largest digest, and sums over four parts of all
+    digests, so that any change of any copy changes the leaf, while a place with very many rows needs partial sums only. `high`
+    is the largest digest. A null content counts as lost. Rows with a null replica, archive or offset have no place.
     """
     placed = records.filter("replica is not null and archive is not null and offset is not null and content is not null")
     hashed = placed.select("replica", "archive", F.col("offset").cast("long").alias("offset"), F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
-    return hashed.groupBy("replica", "archive", "offset").agg(
-        F.count("*").alias("copies"), F.min("digest").alias("low"), F.max("digest").alias("high")).withColumn(
-        "node", F.expr(f"offset div {range_bytes}"))
+    # 60 bits each; 38 digits hold the sum of any number of rows.
+    parts = [F.sum(F.conv(F.substring("digest", k, 15), 16, 10).cast("decimal(28,0)")).cast("string") for k in (1, 16, 31, 46)]
+    bag = hashed.groupBy("replica", "archive", "offset").agg(
+        F.concat_ws(",", F.count("*").cast("string"), F.min("digest"), F.max("digest"), *parts).alias("state"), F.max("digest").alias("high"))
+    return bag.withColumn("node", F.expr(f"offset div {range_bytes}"))
 
 
 def _hash_of(parts: Column) -> Column:
@@ -44,7 +47,7 @@ def _hash_of(parts: Column) -> Column:
 
 def trees(placed: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
     """Levels from the ranges to the roots: (replica, archive, node, hash); the last level has node 0 only."""
-    leaf = F.struct(F.col("offset").alias("at"), F.concat_ws(",", F.col("copies").cast("string"), "low", "high").alias("h"))
+    leaf = F.struct(F.col("offset").alias("at"), F.col("state").alias("h"))
     levels = [store(placed.groupBy("replica", "archive", "node").agg(_hash_of(F.collect_list(leaf)).alias("hash")), "merkle")]
     top = levels[0].agg(F.max("node")).first()[0] or 0
     while top > 0:
@@ -67,7 +70,8 @@ def audit(records: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANO
     records: (replica, archive, offset, content); replicas are few. What more than half of the replicas hold at a place is
     expected there: another content is `altered`, a missing one `lost`, one where most have none `extra`. Without such a
     majority every replica's content is `disputed`, and the expected digest is null. Rows without a place are not audited;
-    equal replicas and an empty table give no row. Other columns are not read.
+    equal replicas and an empty table give no row. Where a place holds several
+    contents, all of them count and the digests shown are the largest ones. Other columns are not read.
     """
     placed = store(leaves(records, range_bytes), "leaves")
     names = placed.select("replica").distinct()
@@ -79,8 +83,7 @@ def audit(records: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANO
         children = level.withColumn("above", F.expr(f"node div {fanout}")).join(above, ["archive", "above"], "left_semi")
         wrong = store(_differing(children, replicas), "branches")
     suspects = placed.join(small(wrong), ["archive", "node"], "left_semi")
-    state = F.concat_ws(",", F.col("copies").cast("string"), "low", "high")
-    held = suspects.select("archive", "offset", "replica", state.alias("state"), F.col("high").alias("digest"))
+    held = suspects.select("archive", "offset", "replica", "state", F.col("high").alias("digest"))
     # At most one row per replica at a place.
     voted = held.groupBy("archive", "offset", "state").agg(F.count("*").alias("votes"), F.max("digest").alias("digest"))
     present = held.groupBy("archive", "offset").agg(F.count("*").alias("n"), F.count_distinct("state").alias("states"))
