@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from veridoc.functions.text import clean_raw_word, is_masked, split_compound
 from veridoc.operators import kernels as K
 from veridoc.operators.ranking import rank_in_group
-from veridoc.operators.words import dedupe_overprint_words, merge_kerning_and_numbers, sanitizer_tolerance, visual_lines
+from veridoc.operators.words import dedupe_overprint_words, merge_kerning_and_numbers, sanitizer_lines
 from veridoc.session import cut
 
 SIDE = ["pair_id", "side"]
@@ -32,7 +32,7 @@ def diff_tokens(words: DataFrame) -> DataFrame:
     width = F.col("x1") - F.col("x0")
     w = w.withColumn("text", clean_raw_word(F.col("part"))).where("text <> ''").withColumn("_x0", F.col("x0") + width * at).withColumn(
         "x1", F.col("x0") + width * (at + F.length("part") / F.greatest(F.length("raw"), F.lit(1)))).withColumn("x0", F.col("_x0"))
-    w = visual_lines(w.drop("raw", "part", "_x0"), SIDE, sanitizer_tolerance(), touching=False)
+    w = sanitizer_lines(w.drop("raw", "part", "_x0"), SIDE)
     w = merge_kerning_and_numbers(dedupe_overprint_words(w, SIDE), SIDE, ["pos", "sub", "font_size"])
     order = W.partitionBy(*SIDE).orderBy("page", "line_no")
     return w.withColumn("line_idx", (F.dense_rank().over(order) - 1).cast("int")).withColumn(

@@ -82,6 +82,37 @@ def sanitizer_tolerance() -> Column:
     return F.greatest(F.lit(4.5), F.col("font_size") * 0.48)
 
 
+def sanitizer_lines(words: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds `line_no` (0.. per page, top down): a word joins the line whose running mean height is nearest, if that is nearer
+    than the word's tolerance (`sanitizer_tolerance`); else it starts a line. The mean takes in each word that joins.
+
+    Words come from the top down (ties: left to right, then by position), so no mean is below a word that is still to come, and a line that a word
+    starts lies below all others and stays there, as only it takes words from then on. The nearest line is thus always the
+    last one, and the fold over the words of a page carries one sum and one count, whatever the number of lines. A page is
+    one array while it is folded; `mean_y` is the mean of the whole line. Words without a height make lines of their own.
+    """
+    cols = [c for c in words.columns if c not in (*keys, "page")]
+    order = ["x0", "pos", *(["sub"] if "sub" in cols else [])]
+    rest = [c for c in cols if c not in order]
+    pages = words.withColumn("_tol", sanitizer_tolerance()).groupBy(*keys, "page").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("y0")).alias("_y"), *order, "_tol", *rest))).alias("_w"))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def step(state: Column, w: Column) -> Column:
+        joins = F.coalesce((state["n"] > 0) & (state["sum"] / state["n"] - w["y0"] < w["_tol"]), F.lit(False))
+        return F.struct(F.when(joins, state["sum"] + w["y0"]).otherwise(w["y0"]).cast("double").alias("sum"),
+                        F.when(joins, state["n"] + 1).otherwise(1).alias("n"), (state["at"] + 1).alias("at"),
+                        F.when(joins, state["starts"]).otherwise(F.array_append(state["starts"], state["at"] + 1)).alias("starts"))
+
+    folded = pages.withColumn("_s", F.aggregate("_w", start, step)["starts"])
+    ends = F.when(F.size("_s") > 0, F.concat(F.slice("_s", 2, F.size("_s")), F.array(F.size("_w") + 1)))
+    lines = folded.withColumn("_l", F.zip_with("_s", ends, lambda a, b: F.slice("_w", a, b - a)))
+    each = lines.select(*keys, "page", F.posexplode("_l").alias("line_no", "_l"))
+    mean = F.aggregate("_l", F.lit(0.0), lambda s, w: s + F.coalesce(w["y0"], F.lit(0.0))) / F.size("_l")
+    out = each.select(*keys, "page", "line_no", mean.alias("mean_y"), F.explode("_l").alias("_w"))
+    return out.select(*[F.col("_w")[c].alias(c) if c in cols else F.col(c) for c in words.columns], "line_no", "mean_y")
+
+
 def _line(keys: list[str]) -> W:
     return W.partitionBy(*keys, "page", "line_no").orderBy("x0", "pos", "sub")
 

@@ -43,6 +43,16 @@ def lines_sql(src, tol, op):
       PARTITION BY side, doc_id, page ORDER BY y0 DESC, x0, pos, sub) - y0 {op} {tol} THEN 1 ELSE 0 END AS brk FROM {src})"""
 
 
+def mean_lines_sql(src):
+    """The words of a page one by one, with sum and count of the line they may join."""
+    return f"""WITH RECURSIVE ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY side, doc_id, page ORDER BY y0 DESC, x0, pos, sub) AS i FROM {src}),
+      walk AS (SELECT side, doc_id, page, i, y0 AS total, 1 AS n, 0 AS line_no FROM ranked WHERE i = 1
+        UNION ALL SELECT w.side, w.doc_id, w.page, r.i, CASE WHEN joins THEN total + r.y0 ELSE r.y0 END, CASE WHEN joins THEN n + 1 ELSE 1 END,
+          CASE WHEN joins THEN line_no ELSE line_no + 1 END FROM walk w JOIN ranked r ON r.side = w.side AND r.doc_id = w.doc_id
+          AND r.page = w.page AND r.i = w.i + 1 CROSS JOIN LATERAL (SELECT total / n - r.y0 < greatest(4.5, r.font_size * 0.48) AS joins))
+      SELECT r.* EXCLUDE (i), walk.line_no FROM ranked r JOIN walk USING (side, doc_id, page, i)"""
+
+
 cte("lined", lines_sql("cleaned", "3.0", ">"), "cleaned")
 LINE_W = "(PARTITION BY side, doc_id, page, line_no ORDER BY x0, pos, sub)"
 
@@ -92,7 +102,7 @@ def b3(spark, sf_dir):
 
 
 LINES = """SELECT side, doc_id, page, line_no, count(*) AS n_words, min(y0) AS low, max(y0) AS high FROM {} GROUP BY ALL"""
-cte("lined_s", lines_sql("cleaned", "greatest(4.5, font_size * 0.48)", ">="), "cleaned")
+cte("lined_s", mean_lines_sql("cleaned"), "cleaned")
 
 
 @query("e1_visual_lines", with_(LINES.format("lined"), "lined"))
@@ -101,10 +111,19 @@ def e1(spark, sf_dir):
     return w.groupBy("side", "doc_id", "page", "line_no").agg(F.count("*").alias("n_words"), F.min("y0").alias("low"), F.max("y0").alias("high"))
 
 
-@query("e1_sanitizer_lines", with_(LINES.format("lined_s"), "lined_s"))
+# Skewed scans: words drop to the right by 0 to 1.2 points a column, so that neighbouring lines meet at the page's sides and
+# only the mean of a line tells it from the next. The check walks the words of a page one by one with the line's sum and count.
+cte("skewed", "SELECT * REPLACE (y0 - 0.3 * (doc_id % 5) * (x0 - 40) / 42 AS y0) FROM cleaned", "cleaned")
+cte("walked", mean_lines_sql("skewed"), "skewed")
+
+
+@query("e1_sanitizer_lines", with_("""SELECT side, doc_id, page, line_no, count(*) AS n_words, round(min(y0), 6) AS low, round(max(y0), 6) AS high,
+  round(sum(y0), 3) AS sum_y FROM walked GROUP BY ALL""", "walked"))
 def e1s(spark, sf_dir):
-    w = O.visual_lines(cleaned(spark, sf_dir), KEYS, O.sanitizer_tolerance(), touching=False)
-    return w.groupBy("side", "doc_id", "page", "line_no").agg(F.count("*").alias("n_words"), F.min("y0").alias("low"), F.max("y0").alias("high"))
+    w = cleaned(spark, sf_dir)
+    w = w.withColumn("y0", F.col("y0") - F.lit(0.3) * (F.col("doc_id") % 5) * (F.col("x0") - 40) / 42)
+    return O.sanitizer_lines(w, KEYS).groupBy("side", "doc_id", "page", "line_no").agg(
+        F.count("*").alias("n_words"), F.round(F.min("y0"), 6).alias("low"), F.round(F.max("y0"), 6).alias("high"), F.round(F.sum("y0"), 3).alias("sum_y"))
 
 
 @query("e2_merge_touching", with_(DIGEST.format("merged"), "merged"))
@@ -115,14 +134,14 @@ def e2(spark, sf_dir):
 @query("e3_dedupe_overprint_words", with_(DIGEST.format(f"""(SELECT * FROM lined_s WINDOW w AS {LINE_W} QUALIFY NOT coalesce(x0 < lag(x1) OVER w - 0.5
   AND abs(x0 - lag(x0) OVER w) <= greatest(1.5, lag(font_size) OVER w * 0.18) AND text = lag(text) OVER w, false))"""), "lined_s"))
 def e3(spark, sf_dir):
-    w = O.visual_lines(cleaned(spark, sf_dir), KEYS, O.sanitizer_tolerance(), touching=False)
+    w = O.sanitizer_lines(cleaned(spark, sf_dir), KEYS)
     return digest(O.dedupe_overprint_words(w, KEYS))
 
 
 @query("e5_merge_kerning_and_numbers", with_(DIGEST.format("(" + glue_sql("lined_s", r"""x0 - p_x1 >= -1.5 AND (x0 - p_x1 <= greatest(1.8, p_font * 0.22)
   OR (x0 - p_x1 <= greatest(5.0, p_font * 0.7) AND regexp_matches(p_text, '^\d{1,12}$') AND regexp_matches(text, '^[\d€$£%]+$')))""", KEEP) + ")"), "lined_s"))
 def e5(spark, sf_dir):
-    w = O.visual_lines(cleaned(spark, sf_dir), KEYS, O.sanitizer_tolerance(), touching=False)
+    w = O.sanitizer_lines(cleaned(spark, sf_dir), KEYS)
     return digest(O.merge_kerning_and_numbers(w, KEYS, KEEP))
 
 
