@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from veridoc.functions.text import fold, strip_badge
-from veridoc.operators.grouping import same_spot
+from veridoc.operators.blocks import row_key
+from veridoc.operators.grouping import GROUP, first_contexts, group_across_documents, same_spot
 
 STATUS_ORDER = ["Different", "Error", "MissingInTarget", "Identical"]
 
@@ -94,8 +95,60 @@ def product_csv_rows(groups: DataFrame, pairs: DataFrame) -> DataFrame:
     return diffs.union(rest)
 
 
+CSV_SCHEMA = "channel string, n_docs long, document string, status string, pages string, old_text string, new_text string, product string"
+
+
 def export_product_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").partitionBy("product").option("sep", ";").option("quoteAll", True).option("header", True).csv(path)
+    """One folder of CSV files a product: `;`, all values quoted, quotes doubled, line ends as blanks, nulls as empty values.
+
+    Rows meet by product and a product with many rows is split again (adaptive execution), so it is several files and several
+    tasks. A product that is null or empty has a folder of its own and comes back as null.
+    """
+    flat = [F.translate(F.coalesce(c, F.lit("")), "\r\n", "  ").alias(c) if t == "string" and c != "product" else F.col(c) for c, t in rows.dtypes]
+    rows.select(*flat).hint("rebalance", "product").write.mode("overwrite").partitionBy("product").options(
+        sep=";", quote='"', escape='"', quoteAll=True, header=True, emptyValue="", ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def read_product_csv(spark: SparkSession, path: str, schema: str = CSV_SCHEMA) -> DataFrame:
+    """What `export_product_csv` wrote."""
+    back = spark.read.schema(schema).options(sep=";", quote='"', escape='"', header=True, enforceSchema=False).csv(path)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) if t == "string" and c != "product" else F.col(c) for c, t in back.dtypes])
+
+
+# --- synthesis ---------------------------------------------------------------------------------------
+
+def synthesis_dataset(blocks: DataFrame, order: list[str]) -> DataFrame:
+    """Three levels in one table: channels, their products, and one row for each grouped difference with texts, pages and contexts.
+
+    Channels and products carry their numbers of products, grouped differences and documents; these come from one rollup over
+    sums by product. Rows stay rows, so a product of any size is no single value; their documents are a table of their own
+    (`synthesis_documents`).
+    """
+    groups = group_across_documents(blocks, order).join(first_contexts(blocks, GROUP, order), GROUP, "left")
+    facts = blocks.select("channel", "product", "pair_id").distinct().select("channel", "product", F.lit(0).alias("d"), F.lit(1).alias("p")).union(
+        blocks.select("channel", *GROUP).distinct().select("channel", "product", F.lit(1), F.lit(0)))
+    products = facts.groupBy("channel", "product").agg(F.sum("d").alias("d"), F.sum("p").alias("p"))
+    totals = products.rollup("channel", "product").agg(
+        F.grouping_id().alias("level"), F.count("*").alias("n_products"), F.sum("d").alias("n_differences"), F.sum("p").alias("n_docs")).where("level < 2")
+    none = lambda c, kind="string": F.lit(None).cast(kind).alias(c)
+    heads = totals.select(F.when(F.col("level") == 1, "channel").otherwise("product").alias("level"), "channel", "product", none("row_key"), none("old_text"),
+                          none("new_text"), none("contexts"), none("pages"), none("severity", "int"), "n_products", "n_differences", "n_docs")
+    rows = groups.select(F.lit("row").alias("level"), "channel", "product", _row_key(), "old_text", "new_text", F.coalesce("contexts", F.lit("")).alias("contexts"),
+                         F.concat(F.lit("P."), F.array_join(F.col("pages").cast("array<string>"), ",")).alias("pages"), F.col("severity").cast("int").alias("severity"),
+                         F.lit(1).cast("long").alias("n_products"), F.lit(1).cast("long").alias("n_differences"), "n_docs")
+    return heads.unionByName(rows)
+
+
+def synthesis_documents(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(row_key, pair_id, document, first_page): the documents that show a grouped difference, each with its first page there."""
+    first = blocks.groupBy("channel", *GROUP, "pair_id").agg(F.min("page").cast("int").alias("first_page"))
+    return first.join(pairs.select("pair_id", F.regexp_extract("path", r"([^/\\]*)$", 1).alias("document")), "pair_id").select(
+        _row_key(), "pair_id", "document", "first_page")
+
+
+def _row_key() -> Column:
+    return row_key(F.concat_ws(" • ", "channel", "product"), F.col("signature")).alias("row_key")
 
 
 # --- review ------------------------------------------------------------------------------------------
