@@ -92,14 +92,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
     `train_texts` bounds the labelled texts read of one language: rows are kept by a hash of `key` (null keys by the
     text's hash) at the rate bound / count. Rows with a null or empty text or a null label teach nothing. No usable row
-    gives a model without languages, whose predictions are all `und`.
+    gives a model without languages, whose predictions are all `und`. Of more than `MAX_LANGUAGES` labels the most frequent
+    ones are learned, ties by code point.
     """
     spark = docs.sparkSession
     usable = docs.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), F.col(key).alias("k")).filter(
         F.col("t").isNotNull() & (F.col("t") != "") & F.col("l").isNotNull())
-    sizes = {r["l"]: r["n"] for r in usable.groupBy("l").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: the model would outgrow its size bound")
+    counts = usable.groupBy("l").agg(F.count("*").alias("n"))
+    sizes = {r["l"]: r["n"] for r in counts.orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()}
     languages = tuple(sorted(sizes))
     if not languages:
         return Model((), np.zeros((buckets, 0), np.float32), np.zeros(0))
@@ -175,6 +175,22 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
     return to_python(source).mapInArrow(run, schema)
 
 
+def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of `docs` whose language can be told, with their columns, whatever the names of these.
+
+    Null and empty texts and those without a letter go. A model that has learned no language rejects nothing else.
+    """
+    if not model.languages:
+        return docs.filter(F.coalesce(F.col(f"`{text}`").rlike(r"[\p{L}\p{Nl}\p{No}]"), F.lit(False)))
+    taken, names = {c.lower() for c in docs.columns}, []
+    for name in ("lang_pred", "score"):
+        while name in taken:
+            name += "_"
+        names.append(name)
+    told = predict(docs, model, text, *names)
+    return told.filter(F.col(names[0]) != UNKNOWN).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def in_training_part(key: str = "doc_id") -> Column:
     """crc32 of the identifier as text, modulo 3, is not 1; false for a null identifier."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 != 1, F.lit(False))
