@@ -34,7 +34,7 @@ def test_profiles(spark, tmp_path):
     (tmp_path / "p" / "one.json").write_text("\n".join(lines))
     got = profiles.load_profiles(spark, str(tmp_path / "p"))
     assert sorted(r.rule_id for r in got.regexes.collect()) == ["p/ok", "q/ok"] and [r.rule_id for r in got.zones.collect()] == ["p/z"]
-    assert sorted(map(tuple, got.errors.where("profile is not null and kind <> 'profile'").collect())) == [
+    assert sorted(map(tuple, got.errors.where("profile is not null and kind <> 'profile'").select("profile", "rule_id", "kind").collect())) == [
         ("p", "critical_regex", "setting"), ("p", "p/bad", "pattern"), ("p", "p/flat", "zone"), ("p", "p/none", "zone")]
     assert got.errors.where("kind = 'profile'").count() == 3 and sorted(r.profile_name for r in got.settings.collect()) == ["p", "q"]
     assert [r.rule_id for r in profiles.rule_list(got.regexes)] == ["p/ok", "q/ok"]
