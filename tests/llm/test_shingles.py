@@ -77,5 +77,18 @@ def test_stage_drops_copies_beyond_two_bits(spark, tmp_path):
     assert sorted(r["doc_id"] for r in stage(spark, spark.read.parquet(f"{tmp_path}/d"), str(tmp_path)).collect()) == [0, 2]
 
 
+def test_stage_drops_texts_linked_by_fingerprints_alone(spark, tmp_path):
+    from veridoc.llm.simhash import fingerprint
+    rng = random.Random(4)
+    new = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    core = new(21) * 150
+    texts = [" ".join(x) for x in (core + new(10), core + new(40), new(80))]
+    a, b = (plain_set(t, 5) for t in texts[:2])
+    assert (fingerprint(texts[0]) ^ fingerprint(texts[1])).bit_count() <= 2 and 5 * len(a & b) < 4 * len(a | b)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    stage = dict(P.STAGES)["SimHash near-dedup"]
+    assert sorted(r["doc_id"] for r in stage(spark, spark.read.parquet(f"{tmp_path}/d"), str(tmp_path)).collect()) == [0, 2]
+
+
 def test_empty(spark):
     assert S.without_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0

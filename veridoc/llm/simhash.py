@@ -131,6 +131,12 @@ def classes(prints: DataFrame, best: Column) -> DataFrame:
     return store(grouped.select("fp", "component").join(first, "component").select("fp", "first"), "classes")
 
 
+def linked(prints: DataFrame, node: str) -> DataFrame:
+    """(a, b), stored: links that join exactly the nodes whose fingerprints reach each other; a node may have several fingerprints."""
+    found = prints.join(classes(prints, F.col(node)), "fp").filter(F.col(node) != F.col("first"))
+    return store(found.select(F.col("first").alias("a"), F.col(node).alias("b")).distinct(), "linked")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): one row per row of `docs`; component_id is the smallest id reachable by links.
 
