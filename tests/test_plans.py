@@ -22,3 +22,10 @@ def test_numbers_of_a_text_are_looked_for_once(spark):
     one = df.select(A.delta_text(A.numeric_delta(F.col("o"), F.col("n"))).alias("d"))
     assert plan(one).count("regexp_extract_all") == 2
     assert [r.d for r in one.collect()] == ["Δ +200 (+20%)", "Δ 0.00 (Valeur égale)", "", ""]
+
+
+def test_sentences_are_looked_for_at_signs(spark):
+    text = "Vu l'Art. 5. Le prix. L'env. Il vol. Ici Parfait! Oui"
+    df = spark.createDataFrame([(text,), ("a \r\n  b",), (None,)], "t string").select(X.normalize_text(F.col("t")).alias("x"))
+    assert "(?<!" in plan(df) and "(?U)(?<!" not in plan(df)
+    assert [r.x for r in df.collect()] == ["Vu l'Art. 5.\nLe prix.\nL'env. Il vol. Ici Parfait!\nOui", "a\nb", None]

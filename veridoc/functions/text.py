@@ -65,11 +65,12 @@ def clean_raw_word(text: Column) -> Column:
 def normalize_text(text: Column) -> Column:
     """Blanks collapsed, bullets and sentences on their own lines."""
     blank = r"[\s&&[^\r\n]]"
-    out = F.regexp_replace(text, rf"(?U){blank}+[\r\n][\s]*", " \n")
-    out = F.regexp_replace(out, r"(?U)[\r\n]\s*", "\n")
+    broken = F.regexp_replace(F.regexp_replace(text, rf"(?U){blank}+[\r\n][\s]*", " \n"), r"(?U)[\r\n]\s*", "\n")
+    out = F.when(text.rlike(r"[\r\n]"), broken).otherwise(text)
     out = F.regexp_replace(out, rf"(?U){blank}+", " ")
     out = F.replace(F.replace(out, F.lit(" • "), F.lit("\n• ")), F.lit(" - "), F.lit("\n- "))
-    out = F.regexp_replace(out, r"(?U)(?<!\b(?:" + "|".join(ABBREVIATIONS) + r"))([.?!])\s+(?=[A-ZÀ-ÖØ-Þ•\-])", "$1\n")
+    # The sign comes first, so that only signs and not all letters look back for an abbreviation.
+    out = F.regexp_replace(out, r"(?U)([.?!])(?<!\b(?:" + "|".join(ABBREVIATIONS) + r")[.?!])\s+(?=[A-ZÀ-ÖØ-Þ•\-])", "$1\n")
     return F.array_join(F.filter(F.transform(F.split(out, "\n"), lambda s: F.trim(s)), lambda s: s != ""), "\n")
 
 
