@@ -29,3 +29,26 @@ def test_sentences_are_looked_for_at_signs(spark):
     df = spark.createDataFrame([(text,), ("a \r\n  b",), (None,)], "t string").select(X.normalize_text(F.col("t")).alias("x"))
     assert "(?<!" in plan(df) and "(?U)(?<!" not in plan(df)
     assert [r.x for r in df.collect()] == ["Vu l'Art. 5.\nLe prix.\nL'env. Il vol. Ici Parfait!\nOui", "a\nb", None]
+
+
+def test_texts_are_cut_once(spark):
+    docs = spark.createDataFrame([("S", 1, "en", False, "a b  c"), ("S", 2, "en", False, " "), ("S", 3, "en", False, None)],
+                                 "side string, doc_id long, lang string, edited boolean, text string")
+    words = corpus.place(corpus.tokens(docs))
+    assert plan(words).count("split(") == 1
+    assert sorted((r.doc_id, r.pos, r.text) for r in words.collect()) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c")]
+
+
+def test_words_are_cleaned_and_pages_folded_once(spark):
+    t = L.diff_tokens(some_words(spark, ["Un", "...", "①", "a:b", ";", "fin"]))
+    assert plan(t).count("ArrowEvalPython") + plan(t).count("_nfkc(") in (1, 2) and plan(t).count("aggregate(_w") == 1
+    assert [r.text for r in t.orderBy("idx").collect()] == ["un", "1", "a", "b", "fin"]
+    assert L.diff_tokens(some_words(spark, ["...", ";"])).count() == 0
+
+
+def test_single_words_hold_no_aggregate_state(spark):
+    w = some_words(spark, ["1", "250", "x"]).withColumn("sub", F.lit(0)).withColumn("line_no", F.lit(0)).withColumn(
+        "x0", F.when(F.col("pos") == 1, 21.0).otherwise(F.col("x0")))
+    out = O.merge_kerning_and_numbers(w, ["pair_id", "side"], ["pos", "sub", "font_size"])
+    assert "Aggregate" not in plan(out)
+    assert sorted((r.pos, r.text, r.x0, r.x1) for r in out.collect()) == [(0, "1250", 0.0, 60.0), (2, "x", 80.0, 100.0)]
