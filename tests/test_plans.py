@@ -52,3 +52,26 @@ def test_single_words_hold_no_aggregate_state(spark):
     out = O.merge_kerning_and_numbers(w, ["pair_id", "side"], ["pos", "sub", "font_size"])
     assert "Aggregate" not in plan(out)
     assert sorted((r.pos, r.text, r.x0, r.x1) for r in out.collect()) == [(0, "1250", 0.0, 60.0), (2, "x", 80.0, 100.0)]
+
+
+def zone(name, order, scope, scope_pages="AllPages", user=True, dates=True):
+    return (name, order, name, True, user, dates, scope, scope_pages, None, None, "PdfPoints", "BottomLeft", 0.0, 0.0, 100.0 * order, 500.0)
+
+
+def test_zones_are_tried_in_one_pass(spark, monkeypatch):
+    words = spark.createDataFrame([(d, p, i, prod, ch, 60.0 * i, 60.0 * i + 30, 100.0, 110.0, 2, 595.0, 842.0, "13/11/2026")
+                                   for d, prod, ch in ((1, "src1", "Bank"), (2, "src2", "Broker"), (3, None, "Bank"), (4, "src1", "Broker"))
+                                   for p in (1, 2) for i in range(6)],
+                                  "doc_id int, page int, pos int, product string, channel string, x0 double, x1 double, y0 double, y1 double, "
+                                  "total_pages int, page_w double, page_h double, text string")
+    rules = R.zone_table(spark, [zone("a", 1, "", user=False), zone("b", 2, "src1, Bank/src1;src2", dates=False), zone("c", 3, "Broker/src2", "LastPageOnly"),
+                                 zone("c", 3, "Broker/src2", "FirstPageOnly")])
+    hits, impact, dates = Z.zone_hits(words, rules), Z.rule_impact(words, rules), Z.collect_zone_dates(words, rules, ["doc_id"])
+    assert "Join" not in plan(hits) and "Join" not in plan(impact)
+    got = [sorted(map(repr, x.collect())) for x in (hits, impact, dates)]
+    monkeypatch.setattr(Z, "COMPILED_ZONES", 0)
+    joined = [Z.zone_hits(words, rules), Z.rule_impact(words, rules), Z.collect_zone_dates(words, rules, ["doc_id"])]
+    assert [x.columns for x in joined] == [hits.columns, impact.columns, dates.columns]
+    assert got == [sorted(map(repr, x.collect())) for x in joined] and all(got)
+    monkeypatch.undo()
+    assert Z.zone_hits(words, rules.where("false")).count() == 0 and Z.rule_impact(words, rules.where("false")).count() == 0
