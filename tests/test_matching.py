@@ -35,6 +35,25 @@ def test_greedy_equals_sequential_walk(spark):
     assert {(r.s, r.t) for r in got} == greedy(edges)
 
 
+def test_sizes_match_as_in_a_serial_walk(spark):
+    rng = random.Random(8)
+    row = lambda x, i: (rng.choice("pq"), rng.choice([7, 20, 21, 90, 130, 131]), f"{x}{i:02d}")
+    src, tgt = [row("s", i % 37) for i in range(40)], [row("t", i % 25) for i in range(28)]
+    src, tgt = [*src, *src[:3], ("p", None, "s98"), (None, 7, "s99")], [*tgt, ("q", 400, "t99")]
+    df = lambda rows, name: spark.createDataFrame(rows, f"product string, n int, {name} string")
+    edges = {(abs(n - m), s, t) for p, n, s in src for q, m, t in tgt if p and p == q and n is not None and abs(n - m) <= 50}
+    got = {(r.s, r.t): r.gap for r in K.match_by_size(df(src, "s"), df(tgt, "t"), ["product"]).collect()}
+    assert set(got) == greedy(edges) and all((g, s, t) in edges for (s, t), g in got.items()) and len(set(got.values())) > 1
+
+
+def test_files_of_one_size_make_no_edges(spark, monkeypatch):
+    seen, walk = [], K.greedy_one_to_one
+    monkeypatch.setattr(K, "greedy_one_to_one", lambda edges, *a: seen.append(edges.count()) or walk(edges, *a))
+    df = lambda name, count: spark.range(count).selectExpr("'p' as product", "100 as n", f"format_string('{name}%04d', id) as {name}")
+    got = K.match_by_size(df("s", 300), df("t", 290), ["product"]).collect()
+    assert sorted((r.s[1:], r.t[1:], r.gap) for r in got) == [(f"{i:04d}", f"{i:04d}", 0) for i in range(290)] and seen == [0]
+
+
 def test_components(spark):
     edges = [("a", "b"), ("b", "c"), ("d", "e"), ("c", "f"), ("g", "h"), ("h", "a")]
     nodes = spark.createDataFrame([(x,) for x in "abcdefghi"], "node string")
