@@ -106,3 +106,30 @@ def test_content_pairing_is_best_first(spark):
         assert max(score(x, y) for x, y in itertools.product(s_free, t_free)) <= s + 1e-9
         s_free.discard(a), t_free.discard(b)
     assert all(score(x, y) < 0.18 for x, y in itertools.product(s_free, t_free))
+
+
+def test_token_sets_are_built_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(x):
+        calls.add(1)
+        return x
+
+    rows = lambda side, words: spark.createDataFrame([("p", f"/{side}/{i}.pdf", w) for i in range(6) for w in words(i)],
+                                                     "product string, path string, token string").withColumn("token", told.asNondeterministic()("token"))
+    src, tgt = rows("s", lambda i: ["all", f"a{i}", f"b{i}", f"c{i}"]), rows("t", lambda i: ["all", f"a{i}", f"b{i}", "other"])
+    files = lambda fp: fp.select("product", "path").distinct()
+    got = O.pair_content_similarity(files(src), files(tgt), src, tgt).collect()
+    assert sorted((r.source_path[3:], r.target_path[3:]) for r in got) == [(f"{i}.pdf",) * 2 for i in range(6)]
+    assert calls.value == 48
+
+
+def test_classes_are_compared_on_one_array_each(spark):
+    """One token stands in all classes, three more in two of them; numbers hold doubled weights of 6 and 2."""
+    toks = lambda i: [(100 * i + j << 5 | 12, 20.0 - 6 * j) for j in range(3)] + [(1 << 20 | 4, 2.0)]
+    sets = spark.createDataFrame([(i, "p", f"c{i}", "ST"[i % 2], 20.0, {}, toks(i // 2)) for i in range(8)],
+                                 "file long, product string, cls string, side string, total double, repeats map<long,long>, "
+                                 "toks array<struct<num:long,rest:double>>")
+    got = O.similar_classes(sets.select("product", "cls", "side"), sets, 0.18).collect()
+    assert sorted((r.a, r.b, r.score) for r in got) == [(f"c{i}", f"c{i + 1}", 1.0) for i in (0, 2, 4, 6)]
