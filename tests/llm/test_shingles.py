@@ -1,6 +1,8 @@
 """Near copies by shingles against brute-force Jaccard."""
 
+import os
 import random
+from urllib.parse import unquote, urlparse
 
 import pytest
 
@@ -92,3 +94,35 @@ def test_stage_drops_texts_linked_by_fingerprints_alone(spark, tmp_path):
 
 def test_empty(spark):
     assert S.without_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_crowd_of_near_copies_is_not_compared_pair_by_pair(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    base, texts = [f"w{i}" for i in range(120)], []
+    for i in range(300):
+        copy = list(base)
+        for k in rng.sample(range(len(copy)), 1 + (i % 4 > 0)):
+            copy[k] = f"x{rng.randrange(9)}"
+        texts.append(" ".join(copy))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    compared, files, verified, store = [], [], S._verified, S.store
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    def stored(df, name):
+        out = store(df, name)
+        if name in ("prefixes", "near", "sets"):
+            files.extend(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(S, "_verified", counted)
+    monkeypatch.setattr(S, "store", stored)
+    got = sorted(r["doc_id"] for r in S.without_near_copies(spark.read.parquet(f"{tmp_path}/d")).collect())
+    want, alike = plain_stay(rows, 5, 4, 5)
+    assert [str(rows[i]) for i in got] == sorted(want, key=lambda x: int(x[1:x.index(",")])) and len(alike) > 5000
+    assert sum(compared) < 10000, compared
+    # Whole sets and prefixes do not stay on disk.
+    assert files and not any(os.path.exists(unquote(urlparse(f).path)) for f in files)

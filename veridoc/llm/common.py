@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from veridoc.session import input_bytes, plan_bytes
 
 __all__ = ["BROADCAST_LIMIT", "input_bytes", "small", "table", "shared_folder", "store", "stored", "place", "without_places",
-           "settings", "slices", "to_python", "word_pattern", "lower_ascii"]
+           "settings", "slices", "discard", "to_python", "word_pattern", "lower_ascii"]
 
 #: A side of a join is broadcast only if the planner's size for it, the size of its files once stored, is below this.
 BROADCAST_LIMIT = 4 << 20
@@ -49,6 +49,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, so that their space does not add up over the steps."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for file in df.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)).getParent()
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 #: Rows of one Arrow batch: whole texts are long, and a batch is held by the JVM and by Python at once.
 ARROW_ROWS = 1000
 
