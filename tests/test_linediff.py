@@ -108,3 +108,32 @@ def test_one_pair_of_200000_lines_is_many_rows(spark):
     assert changed == [(i, i, i) for i in range(500, n, 1000)]
     assert sorted((r["row"], r["t_line"]) for r in got if r["kind"] == "inserted") == [(n + k, n + k) for k in range(100)]
     assert len(got) == n // 1000 + 100
+
+
+def test_alignment_does_not_depend_on_the_size_of_a_pair(spark):
+    # The longest alignment keeps the repeated lines; the one line that occurs once on either side has moved over all of them.
+    pairs = {n: (["once"] + ["a", "b"] * n, ["b", "a"] * n + ["once"]) for n in (3, 2100)}
+    assert len(pairs[2100][0]) * len(pairs[2100][1]) > K.TABLE_CELLS
+    got = L.line_diff(lines_table(spark, pairs)).collect()
+    assert sorted((tuple(r)[:4] for r in got), key=str) == plain(pairs)
+    assert [sum(1 for r in got if r["pair_id"] == n and r["s_line"] is not None) for n in pairs] == [2, 2]
+
+
+@pytest.mark.parametrize("values", [1, 2, 7, 300])
+def test_long_alignments_follow_the_rule_of_short_ones(values):
+    rng = random.Random(values)
+    a, b = ([rng.randrange(values) for _ in range(n)] for n in (90, 130))
+    table = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            table[i, j] = table[i + 1, j + 1] + 1 if a[i] == b[j] else max(table[i + 1, j], table[i, j + 1])
+    want, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            want.append((i, j))
+            i, j = i + 1, j + 1
+        elif table[i + 1, j] >= table[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    assert K._table_walk(a, b) == want
