@@ -1,5 +1,6 @@
 """Near copies by shingles against brute-force Jaccard."""
 
+import math
 import os
 import random
 from urllib.parse import unquote, urlparse
@@ -126,3 +127,13 @@ def test_crowd_of_near_copies_is_not_compared_pair_by_pair(spark, tmp_path, monk
     assert sum(compared) < 10000, compared
     # Whole sets and prefixes do not stay on disk.
     assert files and not any(os.path.exists(unquote(urlparse(f).path)) for f in files)
+
+
+def test_shingles_of_all_texts_are_counted(spark, tmp_path):
+    n = 21_000
+    texts = spark.range(n).selectExpr("concat('a b c d e f', id) t", "string(id % 3) file", "id row")
+    weights = S.common_shingles(texts)
+    common, rare = S.shingle_set("a b c d e"), S.shingle_set("b c d e f7")
+    at = lambda hashes: weights[hashes & (S.BUCKETS - 1)].tolist()
+    assert at(common) == [int(8 * math.log2(1 + n))] and at(rare) == [0]
+    assert S.common_shingles(spark.createDataFrame([], "t string")).max() == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from veridoc.session import input_bytes, plan_bytes
 
 __all__ = ["BROADCAST_LIMIT", "input_bytes", "small", "table", "shared_folder", "store", "stored", "place", "without_places",
-           "settings", "slices", "discard", "to_python", "word_pattern", "lower_ascii"]
+           "settings", "slices", "discard", "sweep", "to_python", "word_pattern", "lower_ascii"]
 
 #: A side of a join is broadcast only if the planner's size for it, the size of its files once stored, is below this.
 BROADCAST_LIMIT = 4 << 20
@@ -58,6 +59,12 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(conf).delete(folder, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished steps now: it does so once the driver's garbage collector has met their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Rows of one Arrow batch: whole texts are long, and a batch is held by the JVM and by Python at once.
 ARROW_ROWS = 1000
 
